@@ -3,7 +3,7 @@
 A naive Bayes classifier, fitted on a bounded sample of labelled documents, gives every document its posterior over the
 domains. Rates x >= 0 (how often a document is to be used) are then fitted so that the expected tokens of each domain,
 sum over documents of posterior x tokens x rate, meet the targets: projected gradient descent on the weighted squares of what is
-missing, with a small pull of every rate to 1. An iteration is one distributed sum; a document's rate is a fixed expression of
+missing, with momentum and a small pull of every rate to 1. An iteration is one distributed sum; a document's rate is a fixed expression of
 its posterior and of the residuals so far, so nothing is kept for each document between iterations. Only built-in expressions are used.
 
 Defined cases: a null or empty text has 0 tokens and the posterior of its structure alone; without labels all domains are as likely; labels that
@@ -101,17 +101,19 @@ def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
     return rows.withColumn("_posterior", F.transform("_shifted", lambda s: s / F.aggregate("_shifted", F.lit(0.0), lambda t, x: t + x))).drop("_words", "_distinct", "_features", "_at", "_scores", "_shifted")
 
 
-def _rate(posterior: Column, residuals: list[list[float]], step: float, most: float | None) -> Column:
-    """The rate after as many steps as there are residuals."""
+def _moved(posterior: Column, residuals: list[list[float]], step: float, most: float | None) -> Column:
+    """rate and ahead (from where the next step goes) after as many steps as there are residuals; a residual ends with the step's momentum."""
+    begin = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     if not residuals:
-        return F.lit(1.0)
+        return begin
 
     def moved(x: Column, r: Column) -> Column:
         slope = sum(F.get(posterior, F.lit(k)) * F.get(r, F.lit(k)) for k in range(len(DOMAINS)))
-        out = F.greatest(F.lit(0.0), x - step * (slope + PULL * (x - 1)))
-        return F.least(F.lit(most), out) if most is not None else out
+        out = F.greatest(F.lit(0.0), x["ahead"] - step * (slope + PULL * (x["ahead"] - 1)))
+        out = F.least(F.lit(most), out) if most is not None else out
+        return F.struct(out.alias("rate"), (out + F.get(r, F.lit(len(DOMAINS))) * (out - x["rate"])).alias("ahead"))
 
-    return F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in residuals)), F.lit(1.0), moved)
+    return F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in residuals)), begin, moved)
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], most: float | None = None) -> tuple[list[list[float]], float]:
@@ -126,12 +128,11 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], most: float | None = N
     step = 1.0 / (sum(float(curved[f"s{k}"]) / total / scale[k] for k in range(len(DOMAINS))) + PULL)
     residuals: list[list[float]] = []
     for _ in range(MOST_STEPS):
-        rate = _rate(F.col("_posterior"), residuals, step, most)
-        sums = rows.withColumn("_rate", rate).agg(*(F.sum(weight(k) * F.col("_rate")).alias(f"s{k}") for k in range(len(DOMAINS)))).first()
+        sums = rows.withColumn("_rate", _moved(F.col("_posterior"), residuals, step, most)["ahead"]).agg(*(F.sum(weight(k) * F.col("_rate")).alias(f"s{k}") for k in range(len(DOMAINS)))).first()
         now = [round((float(sums[f"s{k}"]) / total - targets[d]) / scale[k], 9) for k, d in enumerate(DOMAINS)]
-        if residuals and max(abs(a - b) for a, b in zip(now, residuals[-1], strict=True)) < CLOSE:
+        if residuals and max(abs(a - b) for a, b in zip(now, residuals[-1], strict=False)) < CLOSE:
             break
-        residuals.append(now)
+        residuals.append([*now, len(residuals) / (len(residuals) + 3)])
     return residuals, step
 
 
@@ -141,7 +142,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     rows = cut(with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "n_tokens", "_posterior"), "mix-posteriors")
     residuals, step = fit_rates(rows, targets, most)
     posteriors = [F.round(F.get("_posterior", F.lit(k)), 9).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return rows.select("doc_id", "n_tokens", *posteriors, F.round(_rate(F.col("_posterior"), residuals, step, most), 6).alias("rate"))
+    return rows.select("doc_id", "n_tokens", *posteriors, F.round(_moved(F.col("_posterior"), residuals, step, most)["rate"], 6).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -151,4 +152,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     residuals, step = fit_rates(cut(posteriors.select("n_tokens", "_posterior"), "mix-posteriors"), targets, 1.0)
     drawn = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 20)) / (1 << 20)
     rows = with_posteriors(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), model)
-    return rows.where(drawn < _rate(F.col("_posterior"), residuals, step, 1.0)).select("_row.*")
+    return rows.where(drawn < _moved(F.col("_posterior"), residuals, step, 1.0)["rate"]).select("_row.*")
