@@ -42,6 +42,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def where_computed(rows: DataFrame, condition: Column) -> DataFrame:
+    """Keeps rows by a costly condition that is computed once.
+
+    Catalyst copies the expressions of a filter's columns below it, also into lambdas that run them again and again; it
+    does not move a filter past a row number.
+    """
+    return rows.withColumns({"_keep": condition, "_number": F.monotonically_increasing_id()}).where(F.col("_keep") & (F.col("_number") >= 0)).drop("_keep", "_number")
+
+
 def arrow_map(df: DataFrame, schema: pa.Schema, of_batch: Callable[[pa.RecordBatch], dict[str, object] | None]) -> DataFrame:
     """mapInArrow with a function from a batch to columns by name."""
 

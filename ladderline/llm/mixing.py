@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import cut
+from ladderline.llm.common import cut, where_computed
 
 #: Domains, and what a label makes of a document.
 DOMAINS = ("good", "poor", "toxic")
@@ -152,4 +152,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     residuals, step = fit_rates(cut(posteriors.select("n_tokens", "_posterior"), "mix-posteriors"), targets, 1.0)
     drawn = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 20)) / (1 << 20)
     rows = with_posteriors(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), model)
-    return rows.where(drawn < _moved(F.col("_posterior"), residuals, step, 1.0)["rate"]).select("_row.*")
+    return where_computed(rows, drawn < _moved(F.col("_posterior"), residuals, step, 1.0)["rate"]).select("_row.*")

@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ladderline.llm.common import where_computed
+
 #: Common words by language.
 COMMON_WORDS = {
     "de": ["der", "die", "und", "das", "von", "mit", "den", "im", "ist", "nicht", "ein", "eine", "zu", "sich", "auf", "dem", "des", "als", "auch", "für"],
@@ -144,8 +146,8 @@ def judged(docs: DataFrame, known: dict[str, tuple[list[float], list[float]]] |
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judged(docs.select(F.col("text"), F.col("lang"), F.struct(*docs.columns).alias("_row"))).where("kept").select("_row.*")
+    return where_computed(judged(docs.select(F.col("text"), F.col("lang"), F.struct(*docs.columns).alias("_row"))), F.col("kept")).select("_row.*")
 
 
-#: What DuckDB can say of the base rules.
+#: The measures that the query returns.
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
