@@ -5,9 +5,11 @@ band are candidates) and an odd sketch: the samples folded into a parity bitmap,
 sketches estimates a high similarity precisely. Candidates that pass the sketch are confirmed on the full sets.
 
 Documents of equal sets are one class from the start; only the class's smallest doc_id goes on. A first round tests each
-class against the smallest member of its bands; a second one tests, within each band, those pairs that the links so far leave in
-different components, in blocks of bounded size. So every candidate pair is either in one component already or tested, and no
-link between components is lost but by the bands (below 1e-7 at a similarity of 0.8) and the sketch (six deviations).
+class against the smallest member of its bands. Further rounds look, within each band and in blocks of bounded size, for pairs that the
+links so far leave in different components: each document first names its nearest such neighbour, then its nearest eight, and so
+on until it has named all. Links found early join components, so few pairs are left for the late rounds, and pairs within a
+component are never listed. In the end every candidate pair is in one component or was tested: no link between components is
+lost but by the bands (below 1e-7 at a similarity of 0.8) and the sketch (five deviations).
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; rows that repeat a doc_id count as one
 document; a row without doc_id is linked with nothing (its component is null) and kept; an empty table gives an empty table; extra
@@ -28,18 +30,20 @@ from ladderline.llm.common import arrow_map, cut, id_and_text, in_bitmap, key_bi
 from ladderline.llm.kernels import RangeHashes, grouped_arrow, mixed
 
 BANDS, ROWS = 32, 4
-SKETCH_BITS = 1024
+#: MinHash samples in a sketch (those of the bands are the first of them), and the sketch's size.
+SAMPLES, SKETCH_BITS = 256, 2048
 #: Similarity that links, in percent, and the estimate from which the sketches pass a pair on.
-LINK_PERCENT, SKETCH_FLOOR = 80, 0.55
+LINK_PERCENT, SKETCH_FLOOR = 80, 0.65
+#: How many more neighbours a document names in each round than in the one before.
+GROWTH = 8
 #: Members of a band that are compared in one task at once.
 BLOCK = 2048
-_SAMPLES = BANDS * ROWS
 _RANDOM = np.random.default_rng(11)
-_MULTIPLY = _RANDOM.integers(0, 2**63, _SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLY = _RANDOM.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _RANDOM.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TAG = mixed(np.arange(1, _SAMPLES + 1, dtype=np.uint64))
+_TAG = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 #: The XOR of two sketches has at most so many bits where the estimated similarity reaches the floor.
-MAX_XOR = int(SKETCH_BITS / 2 * (1 - math.exp(-2 * 2 * _SAMPLES * (1 - SKETCH_FLOOR) / SKETCH_BITS)))
+MAX_XOR = int(SKETCH_BITS / 2 * (1 - math.exp(-2 * 2 * SAMPLES * (1 - SKETCH_FLOOR) / SKETCH_BITS)))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 
@@ -61,7 +65,7 @@ def shingle_set(text: str, words: int = 2) -> np.ndarray:
 
 
 def min_samples(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(_SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1024):
         np.minimum(least, (hashes[at : at + 1024, None] * _MULTIPLY).min(0), out=least)
     return least
@@ -73,7 +77,7 @@ def odd_sketch(samples: np.ndarray) -> bytes:
 
 
 def band_keys(samples: np.ndarray) -> list[int]:
-    keys = (mixed(samples.reshape(BANDS, ROWS)) * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    keys = (mixed(samples[: BANDS * ROWS].reshape(BANDS, ROWS)) * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
     return mixed(keys).view(np.int64).tolist()
 
 
@@ -111,8 +115,7 @@ def _similar_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int = 2, percent: int = LINK_PERCENT) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity. Only documents in a pair have their sets built and shuffled."""
-    pairs = cut(pairs, "near-pairs")
+    """The pairs, a stored table, whose full shingle sets reach the similarity. Only documents in a pair have their sets built and shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     bits = key_bitmap(ids, F.crc32(F.col("doc_id").cast("string")))
     if bits is None:
@@ -155,11 +158,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-_ROW_BYTES = SKETCH_BITS // 8
+_NAMED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
 
-def _between_components(members: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a band in different components whose sketches are near. A band is compared block by block."""
+def _between_components(members: DataFrame, sketches: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Pairs of a band in different components whose sketches are near: for each document at most so many, the nearest first.
+
+    Of two components the one with fewer members in the block names the pairs. more says that a document could name others.
+    A band is compared block by block, and only its rows against rows of other components.
+    """
     named = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).select("band", "doc_id", "component")
     mixed_bands = named.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     rows = named.join(mixed_bands.select("band", "size"), "band").join(sketches, "doc_id")
@@ -167,21 +174,31 @@ def _between_components(members: DataFrame, sketches: DataFrame, labels: DataFra
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "sketch")
 
     def of_group(table: pa.Table) -> dict[str, object] | None:
-        if table.num_rows < 2:
-            return None
         ids, comps, own = (table.column(c).to_numpy() for c in ("doc_id", "component", "own"))
+        if len(ids) < 2 or comps.min() == comps.max():
+            return None
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for k in left:
-            near = right[(comps[right] != comps[k]) & (np.bitwise_count(bits[right] ^ bits[k]).sum(1) <= MAX_XOR)]
-            near = near[ids[near] > ids[k]] if i == j else near
-            a += np.minimum(ids[k], ids[near]).tolist()
-            b += np.maximum(ids[k], ids[near]).tolist()
-        return {"a": a, "b": b}
+        _, which, sizes = np.unique(comps, return_inverse=True, return_counts=True)
+        # the smaller component of a pair names it; of equal ones the one with the smaller label
+        place = np.lexsort((np.arange(len(sizes)), sizes)).argsort()[which]
+        out: dict[str, list] = {"a": [], "b": [], "more": []}
+        for k in range(len(ids)):
+            other = np.flatnonzero((place > place[k]) & ((own != own[k]) | (i == j)))
+            if not len(other):
+                continue
+            far = np.bitwise_count(bits[other] ^ bits[k]).sum(1)
+            near = np.flatnonzero(far <= MAX_XOR)
+            if len(near):
+                chosen = near[np.lexsort((ids[other[near]], far[near]))[:most]]
+                partner = ids[other[chosen]]
+                out["a"] += np.minimum(ids[k], partner).tolist()
+                out["b"] += np.maximum(ids[k], partner).tolist()
+                out["more"] += [len(near) > most] * len(chosen)
+        return out
 
-    return grouped_arrow(dealt, ["band", "i", "j"], ["doc_id"], _PAIR, of_group).distinct()
+    found = grouped_arrow(dealt, ["band", "i", "j"], ["doc_id"], _NAMED, of_group)
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = LINK_PERCENT) -> DataFrame:
@@ -195,11 +212,25 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = LINK_PERCENT
     shared = exploded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
     members = cut(exploded.join(shared, "band"), "near-members")
     stars = members.where("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("a")).select("a", F.col("doc_id").alias("b"))
-    links = cut(confirmed(docs, _similar_sketches(stars, sketches), words, percent), "near-links")
-    labels = components(links)
-    more = cut(confirmed(docs, _between_components(members, sketches, labels), words, percent), "near-links")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    links = cut(confirmed(docs, cut(_similar_sketches(stars, sketches), "near-new"), words, percent), "near-links")
+    labels, tested, most = components(links), None, 1
+    while True:
+        named = cut(_between_components(members, sketches, labels, most), "near-named")
+        new = named.select("a", "b") if tested is None else named.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        new = cut(new, "near-new")
+        unnamed = named.where("more").limit(1).count() > 0
+        if new.limit(1).count() == 0:
+            if not unnamed:
+                break
+        else:
+            linked = cut(confirmed(docs, new, words, percent), "near-links")
+            tested = new if tested is None else tested.unionByName(new)
+            if linked.limit(1).count():
+                links = links.unionByName(linked)
+                labels = components(links)
+            elif not unnamed:
+                break
+        most *= GROWTH
     by_class = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
     joined = signed.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.coalesce("component", "doc_id")
@@ -208,5 +239,6 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = LINK_PERCENT
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = LINK_PERCENT) -> DataFrame:
     """The documents, all columns kept, without those that are near copies of one with a smaller doc_id."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")
