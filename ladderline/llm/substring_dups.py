@@ -34,6 +34,8 @@ from ladderline.llm.kernels import RangeHashes, mixed, sliding_min
 LENGTH, K = 50, 20
 #: Bytes of text that are hashed at once in a task; a longer text is hashed alone.
 CHUNK = 1 << 19
+#: Bytes of text whose units make up one batch of the index; a longer text is a batch of its own.
+BATCH = 8 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 #: A unit: anchor key, fingerprint of its bytes (48 bits, beside the anchor's), document, check sum of the document's text, first
 #: string's place, number of strings, and how far the anchor stands behind the first string's place.
@@ -184,13 +186,22 @@ def settle(docs: DataFrame) -> DataFrame:
     shards = 4 * parts
 
     def deal(batch: pa.RecordBatch) -> dict[str, object] | None:
-        rows = [(i, t.encode("utf-8", "surrogatepass")) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if i is not None]
-        if not rows:
-            return None
-        found, whole = units([i for i, _ in rows], [t for _, t in rows])
+        out: dict[str, list] = {"shard": [], "covered": [], "units": []}
+        ids, texts, size = [], [], 0
+        for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            if doc_id is not None:
+                ids.append(doc_id)
+                texts.append(batch.column("text")[k].as_py().encode("utf-8", "surrogatepass"))
+                size += len(texts[-1])
+            if texts and (size >= BATCH or k == batch.num_rows - 1):
+                deal_some(ids, texts, out)
+                ids, texts, size = [], [], 0
+        return out if out["shard"] else None
+
+    def deal_some(ids: list[int], texts: list[bytes], out: dict[str, list]) -> None:
+        found, whole = units(ids, texts)
         done = settled_in_batch(found)
         shard = ((whole & _LOW) % np.uint64(shards)).astype(np.int32)
-        out: dict[str, list] = {"shard": [], "covered": [], "units": []}
         if done.any():
             out["shard"].append(int(shard[done][0]))
             out["covered"].append(True)
@@ -202,18 +213,18 @@ def settle(docs: DataFrame) -> DataFrame:
             out["shard"].append(int(s))
             out["covered"].append(False)
             out["units"].append(_packed(found[order[edges[s] : edges[s + 1]]]))
-        return out if out["shard"] else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_shard: dict[int, list[np.ndarray]] = {}
+        by_shard: dict[int, list[bytes]] = {}
         for batch in batches:
             for shard, covered, blob in zip(*(batch.column(c).to_pylist() for c in _DEALT.names), strict=True):
                 if covered:
                     runs = merged_runs(_unpacked(blob))
                     yield _found_batch([*runs, None], len(runs[0]))
                 else:
-                    by_shard.setdefault(shard, []).append(_unpacked(blob))
-        for batches_of in by_shard.values():
+                    by_shard.setdefault(shard, []).append(blob)
+        for blobs in by_shard.values():
+            batches_of = [_unpacked(blob) for blob in blobs]
             family = LevelFamily()
             for found in batches_of:
                 family.add(found)
