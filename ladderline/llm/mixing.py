@@ -26,7 +26,8 @@ DOMAINS = ("good", "poor", "toxic")
 SAMPLE, WORDS = 12_000, 64
 #: Shares of all tokens that the domains are to have.
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
-PULL, MOST_STEPS, CLOSE = 0.02, 60, 1e-4
+PULL, MOST_STEPS, CLOSE = 0.02, 40, 1e-3
+_INNER = ("_words", "_symbols", "_capitals")
 _BINS = {"symbols": (0.002, 0.01, 0.03), "capitals": (0.06, 0.15, 0.4), "variety": (0.1, 0.25, 0.4, 0.6)}
 
 
@@ -35,12 +36,13 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """Adds n_tokens (words between white space) and _features: the distinct words in lower case, and binned shares as words with a #."""
+    """Adds n_tokens (words between white space), _distinct (the distinct words in lower case) and _bins (binned shares, as words with a #)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    rows = docs.withColumn("_words", F.filter(F.split(F.lower(text), r"[\s.,;:!?|]+"), lambda w: w != ""))
-    rows = rows.withColumn("_distinct", F.array_distinct("_words"))
-    shares = {"symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / size, "capitals": F.regexp_count(text, F.lit("[A-Z]")) / size, "variety": F.size("_distinct") / F.greatest(F.size("_words"), F.lit(1))}
+    # what needs the text comes first and leaves numbers, so that the text is not carried beside its words
+    rows = docs.withColumns({"_words": F.array_remove(F.split(F.lower(text), r"[\s.,;:!?|]+"), ""), "_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / size, "_capitals": F.regexp_count(text, F.lit("[A-Z]")) / size})
+    rows = rows.withColumns({"n_tokens": F.size("_words").cast("long"), "_distinct": F.array_distinct("_words")})
+    shares = {"symbols": F.col("_symbols"), "capitals": F.col("_capitals"), "variety": F.size("_distinct") / F.greatest(F.col("n_tokens"), F.lit(1))}
 
     def binned(name: str) -> Column:
         out = F.lit(f"#{name}{len(_BINS[name])}")
@@ -48,7 +50,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             out = F.when(shares[name] < bound, f"#{name}{k}").otherwise(out)
         return out
 
-    return rows.withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_features", F.concat(F.array(*map(binned, _BINS)), "_distinct"))
+    return rows.withColumn("_bins", F.array(*map(binned, _BINS))).drop(*_INNER)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> dict:
@@ -56,7 +58,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words:
     ids = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(domain_of(F.col("quality"), F.col("toxic"))).alias("_domain")).where(F.col("_domain").isNotNull() & F.col("_id").isNotNull())
     chosen = ids.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     known = with_features(docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id"))
-    known = cut(known.select("_domain", "_features"), "mix-sample")
+    known = cut(known.select("_domain", F.concat("_bins", "_distinct").alias("_features")), "mix-sample")
     sizes = {r[0]: r[1] for r in known.groupBy("_domain").count().collect()}
     n = {d: sizes.get(d, 0) for d in DOMAINS}
     total = sum(n.values())
@@ -87,9 +89,9 @@ def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
     rows = with_features(docs)
     names = list(model["odds"])
     if not names:
-        return rows.withColumn("_posterior", F.array(*[F.lit(1.0 / len(DOMAINS))] * len(DOMAINS))).drop("_words", "_distinct", "_features")
+        return rows.withColumn("_posterior", F.array(*[F.lit(1.0 / len(DOMAINS))] * len(DOMAINS))).drop("_bins", "_distinct")
     known = F.array(*map(F.lit, names))
-    rows = rows.withColumn("_at", F.transform(F.array_intersect("_features", known), lambda w: F.array_position(known, w).cast("int") - 1))
+    rows = rows.withColumn("_at", F.filter(F.transform(F.concat("_bins", F.array_intersect("_distinct", known)), lambda w: F.array_position(known, w).cast("int") - 1), lambda i: i >= 0))
 
     def score(k: int) -> Column:
         weights = F.array(*(F.lit(model["odds"][w][k]) for w in names))
@@ -98,7 +100,7 @@ def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
     scores = [score(k) for k in range(len(DOMAINS))]
     rows = rows.withColumn("_scores", F.array(*scores))
     rows = rows.withColumn("_shifted", F.transform("_scores", lambda s: F.exp(s - F.array_max("_scores"))))
-    return rows.withColumn("_posterior", F.transform("_shifted", lambda s: s / F.aggregate("_shifted", F.lit(0.0), lambda t, x: t + x))).drop("_words", "_distinct", "_features", "_at", "_scores", "_shifted")
+    return rows.withColumn("_posterior", F.transform("_shifted", lambda s: s / F.aggregate("_shifted", F.lit(0.0), lambda t, x: t + x))).drop("_bins", "_distinct", "_at", "_scores", "_shifted")
 
 
 def _moved(posterior: Column, residuals: list[list[float]], step: float, most: float | None) -> Column:
