@@ -2,13 +2,17 @@
 
 Two histograms are compared with the reference of the document's language by Jensen-Shannon distance (base 2, 0 to 1): one of
 character classes (lower-case and other letters, upper case, digits, white space, punctuation, symbols) and one of the
-language's most common words (with one bin for all other words). A reference is the mean histogram of all documents of the
-language that are long enough; languages without a word list share one pooled reference of character classes.
-Only built-in expressions are used; the references are as many rows as there are word lists, plus one.
-
-Defined cases: a null text has no words and fails the length rule; where no document is long enough there is no reference, and the
-divergence passes; a null lang counts as a language without a word list; repeated rows are judged each by itself; columns beyond text and lang
-are kept as they are (measure columns are added under their own names, replacing clashing ones only in op8's result).
+language's most common words (with one bin for all other words). A reference is a trimmed mean histogram of the documents of the
+language that pass the length and repetition rules: of the nearer half around the median, every source counting once however many
+documents it has. So junk moves it neither as one hot source nor as up to half of each source's documents. Languages without a
+word list share one pooled reference of character classes.
+Only built-in expressions are used; the references are as many rows as there are word lists, plus one. Texts are read once: the
+measures are written as a table, from which the references are taken and the documents judged.
+
+Defined cases: a null text has no words and fails the length rule; where no document passes the length and repetition rules there is no
+reference, and the divergence passes; a null lang counts as a language without a word list; a null source, or documents without that column, count as
+one source; repeated rows are judged each by itself; columns beyond text and lang are kept as they are (measure columns are added under their own
+names, replacing clashing ones only in op8's result).
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import where_computed
+from ladderline.llm.common import cut
 
 #: Common words by language.
 COMMON_WORDS = {
@@ -89,16 +93,55 @@ def with_histograms(docs: DataFrame) -> DataFrame:
     return rows.withColumn("_common", common)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Mean histograms by language over all documents that are long enough, and those of all languages under OTHER."""
-    long_enough = with_histograms(docs.select("text", "lang")).where(F.col("n_words") >= MIN_WORDS)
+def measured(docs: DataFrame) -> DataFrame:
+    """The documents without their text, with their measures, base_failed, and what references are taken from."""
+    rows = with_histograms(docs.withColumn("_source", F.col("source") if "source" in docs.columns else F.lit(None).cast("string")))
+    text, words = F.col("_text"), F.col("_words")
+    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_SPACES)) != "")
+    rows = rows.withColumns(
+        {
+            "word_chars": F.length("_text") - F.get("_classes", F.lit(0)),
+            "n_symbols": _count(text, r"[#*$%&|<>]"),
+            "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+            "n_repeat_words": words_in_repeated_windows(words),
+        }
+    ).drop("text", "_text", "_words", "_classes")
+    return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
+
+
+def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """Histograms by language, and those of all languages under OTHER, of measured documents that are not base_failed.
+
+    Histograms of characters count if they are as near to the median one as half of the documents are, those of words if the share
+    of common words is so. Medians and means are taken within each source and then over the sources.
+    """
     n_chars, n_common = len(_CLASSES) + 2, len(next(iter(COMMON_WORDS.values())))
-    sums = long_enough.groupBy("_language").agg(F.count("*").alias("n"), *(F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(n_chars)), *(F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(n_common)))
-    rows = sums.collect()  # at most a row for each word list and one for all else
-    out = {r["_language"]: ([r[f"c{i}"] / r["n"] for i in range(n_chars)], [r[f"w{i}"] / r["n"] for i in range(n_common)] if r["_language"] in COMMON_WORDS else []) for r in rows}
-    if total := sum(r["n"] for r in rows):
-        out[OTHER] = ([sum(r[f"c{i}"] for r in rows) / total for i in range(n_chars)], [])
-    return out
+    used = rows.where(~F.col("base_failed")).select("_source", "_chars", "_common", F.explode(F.array_distinct(F.array(F.col("_language"), F.lit(OTHER)))).alias("_key"))
+    used = used.withColumn("share", F.aggregate("_common", F.lit(0.0), lambda total, x: total + x))
+
+    def over_sources(of: DataFrame, how: Callable[[Column], Column], columns: dict[str, Column]) -> dict[str, dict]:
+        own = of.groupBy("_key", "_source").agg(*(how(c).alias(name) for name, c in columns.items()))
+        return {r["_key"]: r.asDict() for r in own.groupBy("_key").agg(*(how(F.col(name)).alias(name) for name in columns)).collect()}  # at most a row for each word list and one for all else
+
+    median = lambda c: F.percentile_approx(c, 0.5, 1000)
+    chars = {f"c{i}": F.get("_chars", F.lit(i)) for i in range(n_chars)}
+    common = {f"w{i}": F.get("_common", F.lit(i)) for i in range(n_common)}
+    middle = over_sources(used, median, {**chars, "share": F.col("share")})
+    if not middle:
+        return {}
+
+    def of_key(values: dict[str, Column]) -> Column:
+        out = F.lit(None)
+        for key, value in sorted(values.items()):
+            out = F.when(F.col("_key") == key, value).otherwise(out)
+        return out
+
+    centre = of_key({key: F.array(*(F.lit(r[c]) for c in chars)) for key, r in middle.items()})
+    used = used.withColumn("_centre", centre).withColumns({"_far": sum(F.abs(c - F.get("_centre", F.lit(i))) for i, c in enumerate(chars.values())), "_off": F.abs(F.col("share") - of_key({key: F.lit(r["share"]) for key, r in middle.items()}))})
+    limits = over_sources(used, median, {"far": F.col("_far"), "off": F.col("_off")})
+    near, usual = (F.col(c) <= of_key({key: F.lit(r[limit]) for key, r in limits.items()}) for c, limit in (("_far", "far"), ("_off", "off")))
+    means = over_sources(used, F.avg, {**{name: F.when(near, c) for name, c in chars.items()}, **{name: F.when(usual, c) for name, c in common.items()}})
+    return {key: ([r[c] for c in chars], [r[w] for w in common] if key in COMMON_WORDS else []) for key, r in means.items()}
 
 
 def _entropy_terms(shares: Column) -> Column:
@@ -112,22 +155,12 @@ def jensen_shannon(shares: Column, reference: Column) -> Column:
 
 
 def judged(docs: DataFrame, known: dict[str, tuple[list[float], list[float]]] | None = None) -> DataFrame:
-    """The documents with their measures, base_failed, char_distance, word_distance (null without a reference) and kept.
+    """The documents without their text, with their measures, base_failed, char_distance, word_distance (null without a reference) and kept.
 
     Internal columns begin with an underscore; a column of docs that has the name of a measure is replaced.
     """
-    known = references(docs) if known is None else known
-    rows = with_histograms(docs)
-    text, words = F.col("_text"), F.col("_words")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_SPACES)) != "")
-    rows = rows.withColumns(
-        {
-            "word_chars": F.length("_text") - F.get("_classes", F.lit(0)),
-            "n_symbols": _count(text, r"[#*$%&|<>]"),
-            "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": words_in_repeated_windows(words),
-        }
-    )
+    rows = cut(measured(docs), "quality-measures")
+    known = references(rows) if known is None else known
 
     def distance(column: str, which: int) -> Column:
         found = F.lit(None).cast("double")
@@ -138,15 +171,15 @@ def judged(docs: DataFrame, known: dict[str, tuple[list[float], list[float]]] |
             found = F.coalesce(found, jensen_shannon(F.col(column), F.array(*map(F.lit, known[OTHER][0]))))
         return found
 
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    rows = rows.withColumns({"base_failed": failed, "char_distance": distance("_chars", 0), "word_distance": F.when(F.col("n_words") >= MIN_HISTOGRAM_WORDS, distance("_common", 1))})
+    rows = rows.withColumns({"char_distance": distance("_chars", 0), "word_distance": F.when(F.col("n_words") >= MIN_HISTOGRAM_WORDS, distance("_common", 1))})
     near = (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return rows.withColumn("kept", ~F.col("base_failed") & near)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return where_computed(judged(docs.select(F.col("text"), F.col("lang"), F.struct(*docs.columns).alias("_row"))), F.col("kept")).select("_row.*")
+    source = ["source"] if "source" in docs.columns else []
+    return judged(docs.select("text", "lang", *source, F.struct(*docs.columns).alias("_row"))).where("kept").select("_row.*")
 
 
 #: The measures that the query returns.

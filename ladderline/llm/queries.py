@@ -53,7 +53,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", *MEASURES)
+    return judged(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).select("doc_id", *MEASURES)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,20 @@ def test_divergent_documents_are_rejected(spark):
     assert {d for d, k in kept.items() if not k} == {40, 41, 42}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("symbols", [False, True])
+def test_junk_does_not_move_the_reference(spark, hot, symbols):
+    """A third of all rows is junk: in every source alike, or as one hot source that is most of its language."""
+    rng = random.Random(6)
+    junk = (lambda: " ".join(f"{rng.randint(0, 10**6)}$" for _ in range(200))) if symbols else (lambda: " ".join("".join(rng.choice("bcdfgh") for _ in range(6)) for _ in range(200)))
+    clean = [(k, prose(rng), "en" if not hot or k < 30 else "de", f"src{k % 5}") for k in range(80)]
+    rows = clean + [(k, junk(), "en", "hot" if hot else f"src{k % 5}") for k in range(80, 120)]
+    docs = spark.createDataFrame([(d, text, lang, source, len(text)) for d, text, lang, source in rows], SCHEMA).repartition(3)
+    kept = {r.doc_id for r in quality_rules.judged(docs).collect() if r.kept}
+    english = {d for d, _, lang, _ in clean if lang == "en"}
+    assert kept & english == english and not kept & set(range(80, 120))
+
+
 def test_jensen_shannon_distance(spark):
     row = spark.range(1).select(quality_rules.jensen_shannon(F.array(F.lit(0.5), F.lit(0.25)), F.array(F.lit(0.1), F.lit(0.9))).alias("d")).first()
     p, q = [0.5, 0.25, 0.25], [0.1, 0.9, 0.0]
