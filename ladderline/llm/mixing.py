@@ -29,6 +29,8 @@ TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 PULL, MOST_STEPS, CLOSE = 0.02, 40, 1e-3
 _INNER = ("_words", "_symbols", "_capitals")
 _BINS = {"symbols": (0.002, 0.01, 0.03), "capitals": (0.06, 0.15, 0.4), "variety": (0.1, 0.25, 0.4, 0.6)}
+#: Bins are told from words by the white space in their names, which no word has.
+_BIN_NAMES = [f"# {name} {k}" for name, bounds in _BINS.items() for k in range(len(bounds) + 1)]
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -36,7 +38,7 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """Adds n_tokens (words between white space), _distinct (the distinct words in lower case) and _bins (binned shares, as words with a #)."""
+    """Adds n_tokens (words between white space), _distinct (the distinct words in lower case) and _bins (binned shares, named as in _BIN_NAMES)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
     # what needs the text comes first and leaves numbers, so that the text is not carried beside its words
@@ -45,9 +47,9 @@ def with_features(docs: DataFrame) -> DataFrame:
     shares = {"symbols": F.col("_symbols"), "capitals": F.col("_capitals"), "variety": F.size("_distinct") / F.greatest(F.col("n_tokens"), F.lit(1))}
 
     def binned(name: str) -> Column:
-        out = F.lit(f"#{name}{len(_BINS[name])}")
+        out = F.lit(f"# {name} {len(_BINS[name])}")
         for k, bound in reversed(list(enumerate(_BINS[name]))):
-            out = F.when(shares[name] < bound, f"#{name}{k}").otherwise(out)
+            out = F.when(shares[name] < bound, f"# {name} {k}").otherwise(out)
         return out
 
     return rows.withColumn("_bins", F.array(*map(binned, _BINS))).drop(*_INNER)
@@ -69,14 +71,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words:
         seen = sum(F.col(x) for x in DOMAINS)
         expected = seen * (n[d] / total)
         score = (F.col(d) - expected) / F.sqrt(expected * (1 - n[d] / total) + 1.0)
-        best = counts.where(~F.col("feature").startswith("#") & (seen >= 5) & (score >= 4)).orderBy(score.desc(), "feature").limit(words)
+        best = counts.where(~F.col("feature").isin(_BIN_NAMES) & (seen >= 5) & (score >= 4)).orderBy(score.desc(), "feature").limit(words)
         found |= {r["feature"]: tuple(r[x] for x in DOMAINS) for r in best.collect()}
-    found |= {r["feature"]: tuple(r[x] for x in DOMAINS) for r in counts.where(F.col("feature").startswith("#")).limit(sum(len(b) + 1 for b in _BINS.values())).collect()}
+    found |= {r["feature"]: tuple(r[x] for x in DOMAINS) for r in counts.where(F.col("feature").isin(_BIN_NAMES)).collect()}  # at most a row a bin
     base = [math.log((n[d] + 1) / (total + len(DOMAINS))) for d in DOMAINS]
     odds: dict[str, list[float]] = {}
     for feature, by in sorted(found.items()):
         shares = [(c + 0.5) / (n[d] + 1) for c, d in zip(by, DOMAINS, strict=True)]
-        if feature.startswith("#"):
+        if feature in _BIN_NAMES:
             odds[feature] = [math.log(p) for p in shares]
         else:
             odds[feature] = [math.log(p / (1 - p)) if p < 1 else 10.0 for p in shares]

@@ -143,6 +143,21 @@ def test_classifier_on_odd_tables(spark):
     assert quality_knn.quality_scores(spark.createDataFrame([], SCHEMA), labels).collect() == []
 
 
+def test_words_with_a_hash_do_not_displace_bins(spark):
+    docs, labels = labelled(spark, 60)
+    bins = lambda model: {w: v for w, v in model["odds"].items() if w.startswith("#") and not w.startswith("#tag")}
+    plain = mixing.fit_domains(docs, labels)
+    # as many tokens and capitals, but hashtags and words named like bins, in half of the documents; '#' words compete as words
+    tags = " ".join([f"#tag{k}" for k in range(40)] + ["#symbols0", "#capitals0", "#variety0"])
+    tagged = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat_ws(" ", "text", F.lit(tags))).otherwise(F.col("text")))
+    with_tags = mixing.fit_domains(tagged, labels)
+    seen = {r[0] for r in mixing.with_features(tagged).select(F.explode("_bins")).distinct().collect()}
+    assert seen <= set(with_tags["odds"]) and bins(plain)
+    assert any(w.startswith("#tag") for w in with_tags["odds"])
+    by = {r.name: r.n for r in mixing.with_features(tagged).select(F.explode("_bins").alias("name")).groupBy("name").agg(F.count("*").alias("n")).collect()}
+    assert sum(by.values()) == 3 * 60 and not {"#symbols0", "#capitals0", "#variety0"} & set(by)
+
+
 def test_rates_meet_the_targets(spark):
     docs, labels = labelled(spark)
     rows = mixing.mixing_rates(docs, labels, {"good": 0.5, "poor": 0.3, "toxic": 0.2}).collect()
