@@ -3,8 +3,10 @@
 A naive Bayes classifier, fitted on a bounded sample of labelled documents, gives every document its posterior over the
 domains. Rates x >= 0 (how often a document is to be used) are then fitted so that the expected tokens of each domain,
 sum over documents of posterior x tokens x rate, meet the targets: projected gradient descent on the weighted squares of what is
-missing, with momentum and a small pull of every rate to 1. An iteration is one distributed sum; a document's rate is a fixed expression of
-its posterior and of the residuals so far, so nothing is kept for each document between iterations. Only built-in expressions are used.
+missing, with a pull of every rate to 1 that shrinks until the targets are met, or to PULL where they cannot be. Gradients are combinations of
+the domains' posteriors, so the sum of all steps is one number a domain, and projecting it on the bounds gives a document's rate: nothing
+is kept for each document between iterations. A step is one distributed sum; it is scaled by the curvature over the documents that are not at a
+bound, and halved until the objective falls. Only built-in expressions are used.
 
 Defined cases: a null or empty text has 0 tokens and the posterior of its structure alone; without labels all domains are as likely; labels that
 repeat a doc_id count once (the smallest); repeated rows of documents get equal rates; an empty table gives an empty table; other columns are ignored,
@@ -13,8 +15,10 @@ or kept by mix().
 
 from __future__ import annotations
 
+import logging
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +30,9 @@ DOMAINS = ("good", "poor", "toxic")
 SAMPLE, WORDS = 12_000, 64
 #: Shares of all tokens that the domains are to have.
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
-PULL, MOST_STEPS, CLOSE = 0.02, 40, 1e-3
+#: Pulls of rates to 1, taken one after the other. Targets count as met at a relative error of CLOSE; smaller ones than LEAST, at that share of LEAST.
+PULLS = (1e-2, 1e-4, 1e-6)
+PULL, MOST_STEPS, CLOSE, LEAST = PULLS[-1], 200, 1e-4, 1e-3
 _INNER = ("_words", "_symbols", "_capitals")
 _BINS = {"symbols": (0.002, 0.01, 0.03), "capitals": (0.06, 0.15, 0.4), "variety": (0.1, 0.25, 0.4, 0.6)}
 #: Bins are told from words by the white space in their names, which no word has.
@@ -105,55 +111,84 @@ def with_posteriors(docs: DataFrame, model: dict) -> DataFrame:
     return rows.withColumn("_posterior", F.transform("_shifted", lambda s: s / F.aggregate("_shifted", F.lit(0.0), lambda t, x: t + x))).drop("_bins", "_distinct", "_at", "_scores", "_shifted")
 
 
-def _moved(posterior: Column, residuals: list[list[float]], step: float, most: float | None) -> Column:
-    """rate and ahead (from where the next step goes) after as many steps as there are residuals; a residual ends with the step's momentum."""
-    begin = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
-    if not residuals:
-        return begin
+def _rate(posterior: Column, moves: list[float], most: float | None) -> Column:
+    """The rate after moves, the sum of all steps by domain: projected on 0 to most."""
+    out = F.greatest(F.lit(0.0), F.lit(1.0) + sum(F.get(posterior, F.lit(k)) * F.lit(float(m)) for k, m in enumerate(moves)))
+    return F.least(F.lit(float(most)), out) if most is not None else out
 
-    def moved(x: Column, r: Column) -> Column:
-        slope = sum(F.get(posterior, F.lit(k)) * F.get(r, F.lit(k)) for k in range(len(DOMAINS)))
-        out = F.greatest(F.lit(0.0), x["ahead"] - step * (slope + PULL * (x["ahead"] - 1)))
-        out = F.least(F.lit(most), out) if most is not None else out
-        return F.struct(out.alias("rate"), (out + F.get(r, F.lit(len(DOMAINS))) * (out - x["rate"])).alias("ahead"))
 
-    return F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in residuals)), begin, moved)
+def fit_rates(rows: DataFrame, targets: dict[str, float], most: float | None = None) -> list[float]:
+    """The sum of all steps by domain. rows: n_tokens and _posterior; each step is one sum over all rows.
 
-
-def fit_rates(rows: DataFrame, targets: dict[str, float], most: float | None = None) -> tuple[list[list[float]], float]:
-    """Residuals of the steps and the step's length. rows: n_tokens and _posterior; each step is one sum over all rows."""
-    weight = lambda k: F.col("n_tokens") * F.get("_posterior", F.lit(k))
-    first = rows.agg(F.sum("n_tokens").alias("total"), *(F.sum(weight(k)).alias(f"s{k}") for k in range(len(DOMAINS)))).first()
+    Logs the totals that are attained, as a warning where a target is missed.
+    """
+    n, log = len(DOMAINS), logging.getLogger(__name__)
+    p = [F.col(f"p{k}") for k in range(n)]
+    rows = rows.select(F.col("n_tokens").cast("double").alias("w"), *(F.get("_posterior", F.lit(k)).alias(f"p{k}") for k in range(n)))
+    first = rows.agg(F.sum("w").alias("total"), *(F.sum(F.col("w") * p[k]).alias(f"s{k}") for k in range(n))).first()
     total = float(first["total"] or 0)
     if not total:
-        return [], 0.0
-    scale = [max(float(first[f"s{k}"]) / total, 1e-6) for k in range(len(DOMAINS))]
-    curved = rows.agg(*(F.sum(weight(k) * F.get("_posterior", F.lit(k))).alias(f"s{k}") for k in range(len(DOMAINS)))).first()
-    step = 1.0 / (sum(float(curved[f"s{k}"]) / total / scale[k] for k in range(len(DOMAINS))) + PULL)
-    residuals: list[list[float]] = []
-    for _ in range(MOST_STEPS):
-        sums = rows.withColumn("_rate", _moved(F.col("_posterior"), residuals, step, most)["ahead"]).agg(*(F.sum(weight(k) * F.col("_rate")).alias(f"s{k}") for k in range(len(DOMAINS)))).first()
-        now = [round((float(sums[f"s{k}"]) / total - targets[d]) / scale[k], 9) for k, d in enumerate(DOMAINS)]
-        if residuals and max(abs(a - b) for a, b in zip(now, residuals[-1], strict=False)) < CLOSE:
+        return [0.0] * n
+    scale = np.array([max(float(first[f"s{k}"]) / total, 1e-6) for k in range(n)])
+    wanted = np.array([targets[d] for d in DOMAINS])
+    bound = CLOSE * np.maximum(wanted, LEAST)
+    pairs = [(j, k) for j in range(n) for k in range(j, n)]
+
+    def summed(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares of the domains, curvature, and the part of the objective's dual that is a sum over documents."""
+        z = F.col("z")
+        at = rows.withColumn("z", sum(p[k] * F.lit(float(m)) for k, m in enumerate(moves)))
+        x, free = F.greatest(F.lit(0.0), 1 + z), z > -1
+        value = F.when(free, z * z / 2 + z).otherwise(-0.5)
+        if most is not None:
+            x, value = F.least(F.lit(float(most)), x), F.when(z < most - 1, value).otherwise(most * z - (most - 1) ** 2 / 2)
+            free &= z < most - 1
+        r = at.withColumns({"x": x, "free": F.when(free, F.col("w")).otherwise(0.0), "value": value}).agg(
+            *(F.sum(F.col("w") * F.col("x") * p[k]).alias(f"s{k}") for k in range(n)), *(F.sum(F.col("free") * p[j] * p[k]).alias(f"h{j}{k}") for j, k in pairs), F.sum(F.col("w") * F.col("value")).alias("value")
+        ).first()
+        curved = np.zeros((n, n))
+        for j, k in pairs:
+            curved[j, k] = curved[k, j] = r[f"h{j}{k}"] / total
+        return np.array([r[f"s{k}"] for k in range(n)]) / total, curved, r["value"] / total
+
+    moves, steps = np.zeros(n), 0
+    got, curved, value = summed(moves)
+    for pull in PULLS:
+        objective = lambda m, v: v - wanted @ m + pull / 2 * (scale * m) @ m  # noqa: B023, E731
+        while steps < MOST_STEPS:
+            gradient = got - wanted + pull * scale * moves
+            if (np.abs(gradient) <= bound / 4).all():
+                break
+            way, length = -np.linalg.lstsq(curved + pull * np.diag(scale), gradient, rcond=1e-15)[0], 1.0
+            before = objective(moves, value)
+            while steps < MOST_STEPS:
+                new = summed(moves + length * way)
+                steps += 1
+                if objective(moves + length * way, new[2]) <= before + 1e-4 * length * (gradient @ way) + 1e-14 * max(1.0, abs(before)):
+                    moves, (got, curved, value) = moves + length * way, new
+                    break
+                length /= 2
+        if (np.abs(got - wanted) <= bound).all():
             break
-        residuals.append([*now, len(residuals) / (len(residuals) + 3)])
-    return residuals, step
+    met = (np.abs(got - wanted) <= bound).all()
+    log.log(logging.INFO if met else logging.WARNING, "mixing: %s after %d steps%s", ", ".join(f"{d} {g:.6f} for {t:g}" for d, g, t in zip(DOMAINS, got, wanted, strict=True)), steps, "" if met else (": not converged" if steps >= MOST_STEPS else ": out of reach"))
+    return [float(m) for m in moves]
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float | None = None) -> DataFrame:
     """One row a document: doc_id, n_tokens, the posterior of each domain, and its rate."""
     model = fit_domains(docs, labels)
     rows = cut(with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "n_tokens", "_posterior"), "mix-posteriors")
-    residuals, step = fit_rates(rows, targets, most)
+    moves = fit_rates(rows, targets, most)
     posteriors = [F.round(F.get("_posterior", F.lit(k)), 9).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return rows.select("doc_id", "n_tokens", *posteriors, F.round(_moved(F.col("_posterior"), residuals, step, most)["rate"], 6).alias("rate"))
+    return rows.select("doc_id", "n_tokens", *posteriors, F.round(_rate(F.col("_posterior"), moves, most), 6).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The documents thinned to the rates, which are at most 1 here: a document stays if its hash, as a share, is below its rate."""
     model = fit_domains(docs, labels)
     posteriors = with_posteriors(docs.select("doc_id", "text"), model)
-    residuals, step = fit_rates(cut(posteriors.select("n_tokens", "_posterior"), "mix-posteriors"), targets, 1.0)
+    moves = fit_rates(cut(posteriors.select("n_tokens", "_posterior"), "mix-posteriors"), targets, 1.0)
     drawn = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 20)) / (1 << 20)
     rows = with_posteriors(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), model)
-    return where_computed(rows, drawn < _moved(F.col("_posterior"), residuals, step, 1.0)["rate"]).select("_row.*")
+    return where_computed(rows, drawn < _rate(F.col("_posterior"), moves, 1.0)).select("_row.*")

@@ -167,6 +167,29 @@ def test_rates_meet_the_targets(spark):
     assert all(r.rate >= 0 and r.p_good + r.p_poor + r.p_toxic == pytest.approx(1) for r in rows)
 
 
+def test_every_reachable_target_is_met(spark):
+    docs, labels = labelled(spark)
+    rows = mixing.mixing_rates(docs, labels).collect()
+    total = sum(r.n_tokens for r in rows)
+    for d, target in mixing.TARGETS.items():
+        assert sum(r[f"p_{d}"] * r.n_tokens * r.rate for r in rows) / total == pytest.approx(target, rel=1e-3)
+
+
+@pytest.mark.parametrize("most", [None, 3.0, 1.0])
+def test_rates_of_a_weak_classifier(spark, most):
+    """Posteriors that hardly tell the domains apart; with rates of at most 1 not all targets can be met."""
+    rng = np.random.default_rng(4)
+    p, n = rng.dirichlet([6, 2, 1], 400), rng.integers(20, 400, 400)
+    rows = spark.createDataFrame([(int(k), [float(v) for v in q]) for k, q in zip(n, p, strict=True)], "n_tokens long, _posterior array<double>")
+    x = np.array([r[0] for r in rows.select(mixing._rate(F.col("_posterior"), mixing.fit_rates(rows, {"good": 0.8, "poor": 0.15, "toxic": 0.05}, most), most)).collect()])
+    got, wanted = (n / n.sum() * x) @ p, np.array([0.8, 0.15, 0.05])
+    if most != 1.0:
+        assert got == pytest.approx(wanted, rel=1e-3)
+    # no document can be moved within its bounds so that the squares of what is missing fall
+    slope = p @ ((got - wanted) / (n / n.sum() @ p))
+    assert np.abs(np.clip(x - slope, 0, most) - x).max() < 1e-2 and x.min() >= 0 and x.max() <= (most or np.inf)
+
+
 def test_rates_are_those_of_a_dense_solver(spark):
     """The same objective, minimised by many plain projected steps over the whole matrix."""
     docs, labels = labelled(spark, 120)
