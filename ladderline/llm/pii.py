@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) are found by pattern. Each found value is a
 operator counts how often a term stands within a window of an entity, and in how many documents the term stands at all; a
 term discloses entity e by PMI(e; t) / IC(e) = log(N df(e,t) / (df(e) df(t))) / log(N / df(e)), which is 1 if every document
 with the term has the entity. Terms at or above the threshold, seen with the entity in at least `support` different
-contexts (copies of one context count once), become spans of kind term there. Sanitising replaces base spans
-by their kind (generalised) and removes the disclosing terms.
+contexts (copies of one context count once), become spans of kind term wherever they stand, in any document:
+the windows serve only to estimate. Sanitising replaces base spans by their kind (generalised) and removes the disclosing terms.
 
 Defined cases: a null or empty text has no spans; rows that repeat a doc_id are kept, each with the
 spans of its own text; an empty table gives an empty table; extra columns are kept by sanitise() and ignored by the rest.
@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ladderline.llm.common import arrow_map, cut, id_and_text, in_bitmap, key_bitmap
 
@@ -95,11 +96,15 @@ _PLACE = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int
 _SCAN = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), ("contexts", pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(_PLACE))])))])
 
 
+def _text_hash(text: str) -> str:
+    """Tells rows of equal doc_id apart."""
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _scan(batch: pa.RecordBatch) -> dict[str, object]:
     texts = batch.column("text").to_pylist()
     spans = [base_spans(t) for t in texts]
-    # the hash tells rows of equal doc_id apart; it is needed only where a text can have terms
-    hashes = [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() if s else "" for t, s in zip(texts, spans, strict=True)]
+    hashes = [_text_hash(t) for t in texts]
     return {"doc_id": batch.column("doc_id"), "text_hash": hashes, "base": [[{"kind": k, "start": s, "end": e} for k, s, e in found] for found in spans], "contexts": [contexts(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]}
 
 
@@ -139,6 +144,31 @@ def disclosing_pairs(docs: DataFrame, scanned: DataFrame, threshold: float = THR
     return joined.withColumn("disclosure", value).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
+_MARK = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), *_PLACE])
+
+
+def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every place of these terms in all texts. A bitmap of fixed size skips nearly all other words."""
+    bits = key_bitmap(terms, F.crc32("term"))
+    if bits is None:
+        return docs.sparkSession.createDataFrame([], from_arrow_schema(_MARK))
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def of_batch(batch: pa.RecordBatch) -> dict[str, object] | None:
+        out: dict[str, list] = {f.name: [] for f in _MARK}
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            hits = {word for word in set(_TERM.findall(text)) if in_bitmap(shared.value, word.lower().encode())}
+            if hits:
+                found = _text_hash(text)
+                for m in _TERM.finditer(text):
+                    if m[0] in hits:
+                        for column, value in zip(out.values(), (doc_id, found, m[0].lower(), m.start(), m.end()), strict=True):
+                            column.append(value)
+        return out if out["term"] else None
+
+    return arrow_map(id_and_text(docs), _MARK, of_batch).join(terms, "term", "left_semi")
+
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
@@ -146,16 +176,27 @@ def joined_spans(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(set(spans), key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
+def outside(terms: list[dict], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of the terms that overlap no base span; both are swept in order of place."""
+    out, at, end = [], 0, 0
+    base = sorted((s, e) for _, s, e in spans)
+    for start, stop in sorted((t["start"], t["end"]) for t in terms):
+        while at < len(base) and base[at][0] < stop:
+            end = max(end, base[at][1])
+            at += 1
+        if end <= start:
+            out.append(("term", start, stop))
+    return out
+
+
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """One row a document: counts by kind, a digest of the base spans, all spans, and text_hash (of texts with a base span)."""
+    """One row a document: counts by kind, a digest of the base spans, all spans, and text_hash."""
     scanned = cut(arrow_map(id_and_text(docs), _SCAN, _scan), "pii-scan")
     pairs = disclosing_pairs(docs, scanned, threshold, support)
-    places = scanned.select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.entity", F.explode("c.terms").alias("t")).select("doc_id", "text_hash", "entity", "t.*")
-    terms = places.join(pairs, ["entity", "term"]).select("doc_id", "text_hash", "start", "end").distinct()
-    terms = terms.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("terms"))  # at most a window for each entity of one document
+    terms = term_places(docs, cut(pairs.select("term").distinct(), "pii-terms")).select("doc_id", "text_hash", "start", "end").distinct()
+    terms = terms.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("terms"))  # bounded by the text
     rows = scanned.select("doc_id", "text_hash", "base")
-    plain = rows.where(F.size("base") == 0).withColumn("terms", F.lit(None).cast(terms.schema["terms"].dataType))
-    marked = rows.where(F.size("base") > 0).join(terms.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
+    marked = rows.join(terms.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
 
     def of_batch(batch: pa.RecordBatch) -> dict[str, object]:
         out: dict[str, list] = {f.name: [] for f in _FOUND}
@@ -164,10 +205,10 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: i
             for kind in KINDS[:4]:
                 out[f"n_{kind}"].append(sum(s[0] == kind for s in spans))
             out["base_sha256"].append(hashlib.sha256(joined_spans(spans).encode()).hexdigest())
-            out["spans"].append(joined_spans(spans + [("term", t["start"], t["end"]) for t in more or []]))
+            out["spans"].append(joined_spans(spans + outside(more or [], spans)))
         return out | {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash")}
 
-    return arrow_map(plain.unionByName(marked), _FOUND, of_batch)
+    return arrow_map(marked, _FOUND, of_batch)
 
 
 def sanitised_text(text: str, spans: str) -> str:

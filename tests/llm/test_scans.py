@@ -75,6 +75,19 @@ def test_sanitising_keeps_rows_and_columns(spark):
     assert dict(texts)[20] == dict(disclosing_rows())[20]
 
 
+def test_disclosing_terms_are_marked_everywhere(spark):
+    far = "Zebedee is named here, " + "and much is said " * 20 + "before zebedee@mail.example.com"
+    alone = "nobody's address, but ZEBEDEE, and zebedee again"
+    more = [(100 + k, "in other words beside nothing " + str(k)) for k in range(40)]
+    docs = frame(spark, [*disclosing_rows(), *more, (50, far), (51, alone), (51, "another text of the id")])
+    spans = {(r.doc_id, r.n_email): r.spans for r in pii.find_personal_data(docs).where("spans != ''").collect()}
+    at = far.index("zebedee@")
+    assert spans[50, 1].split(",") == ["term:0:7", f"email:{at}:{at + 24}"]
+    assert spans[51, 0] == "term:22:29,term:35:42"
+    texts = {r.text for r in pii.sanitise(docs).where("doc_id = 51").collect()}
+    assert texts == {"nobody's address, but [...], and [...] again", "another text of the id"}
+
+
 def brute_secrets(text):
     spans = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 12]
     spans += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
