@@ -26,9 +26,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set where the session names none (local tests)."""
+    """The folder of spark.checkpoint.dir. A temporary one is set where a local session names none; a cluster has to name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -42,6 +44,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables that one operator writes on its way, so that they can be removed when its result is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes the result and removes all other tables."""
+        before, self.paths = self.paths, []
+        out = self.cut(df, name)
+        for path in before:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        return out
+
+
 def where_computed(rows: DataFrame, condition: Column) -> DataFrame:
     """Keeps rows by a costly condition that is computed once.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import from_arrow_schema
 
 _RANDOM = np.random.default_rng(7)
@@ -60,23 +60,18 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - reach)], values[width - reach :]) if width > reach else values
 
 
-def grouped_arrow(df: DataFrame, keys: list[str], order: list[str], schema: pa.Schema, of_group: Callable[[pa.Table], dict[str, object] | None]) -> DataFrame:
-    """Calls a function with the rows of each key, in order; rows of a key come from one partition, sorted by Spark.
+def grouped_arrow(df: DataFrame, keys: list[str], order: list[Column], schema: pa.Schema, of_groups: Callable[[pa.Table, np.ndarray], dict[str, object]]) -> DataFrame:
+    """Calls a function with rows of whole groups, in order, and the groups' edges; a group comes from one partition, sorted by Spark.
 
-    Unlike a grouped map, many small groups share one Arrow batch. A key's rows have to fit in memory: callers bound them.
+    Unlike a grouped map, many small groups share one call. A group's rows have to fit in memory: callers bound them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             columns = [table.column(k).to_numpy(zero_copy_only=False) for k in keys]
             change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-            edges = [0, *change.tolist(), table.num_rows]
-            found: dict[str, list] = {f.name: [] for f in schema}
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if (rows := of_group(table.slice(lo, hi - lo))) is not None:
-                    for name, values in rows.items():
-                        found[name].extend(values)
-            if found[schema.names[0]]:
+            found = of_groups(table, np.array([0, *change, table.num_rows]))
+            if len(found[schema.names[0]]):
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
 
         held: list[pa.Table] = []

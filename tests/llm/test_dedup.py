@@ -53,18 +53,36 @@ def test_near_duplicates_are_those_of_brute_force(spark, corpus):
     assert sorted(r.n_shingles for r in found) == sizes
 
 
-def test_a_hot_group_in_small_blocks_loses_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "BLOCK", 4)
+@pytest.mark.parametrize("block", [4, 16, 2048])
+@pytest.mark.parametrize("changed", [2, 3])
+def test_a_hot_group_in_small_blocks_loses_no_link(spark, monkeypatch, block, changed):
+    """With 3 of 80 words changed, members are 0.7 to 0.8 similar: most pairs pass the sketch and are no links."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     rng = np.random.default_rng(2)
-    base = [f"w{k}" for k in range(60)]
+    base = [f"w{k}" for k in range(80)]
     rows = []
     for d in range(60):
         own = list(base)
-        for _ in range(3):
-            own[rng.integers(60)] = f"x{rng.integers(1000)}"
+        for _ in range(changed):
+            own[rng.integers(80)] = f"x{rng.integers(1000)}"
         rows.append((d, " ".join(own)))
     found = {r.doc_id: r.component_id for r in near_dups.near_duplicates(frame(spark, rows)).collect()}
     assert found == brute_components(rows)
+    assert changed == 2 or 10 < len(set(found.values())) < 60
+
+
+def test_blocks_hand_on_a_forest():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([np.arange(80, dtype=np.uint64), rng.integers(100, 10_000, 5, dtype=np.uint64)])) for _ in range(50)]
+    links = near_dups.forest(np.arange(50), np.arange(50), sets, 80)
+    assert len(links) == 49 and {x for link in links for x in link} == set(range(50))
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (6, b), (8, a + " more"), (9, "quite another text")]
+    found = near_dups.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(3, 3, True), (5, 3, False), (5, 3, False), (6, 3, False), (8, 3, False), (9, 9, True)]
 
 
 def test_components_follow_long_chains(spark):
@@ -156,7 +174,7 @@ def test_grouped_arrow_sees_each_key_whole(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         df = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
-        out = grouped_arrow(df, ["k"], ["id"], pa.schema([("k", pa.int64()), ("n", pa.int64())]), lambda t: {"k": [t.column("k")[0].as_py()], "n": [t.num_rows]}).collect()
+        out = grouped_arrow(df, ["k"], [F.col("id")], pa.schema([("k", pa.int64()), ("n", pa.int64())]), lambda t, e: {"k": t.column("k").to_numpy()[e[:-1]], "n": np.diff(e)}).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r.k, r.n) for r in out) == [(k, len(range(k, 100, 7))) for k in range(7)]
