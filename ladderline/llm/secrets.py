@@ -1,12 +1,16 @@
 """Secret scans: assignment-aware lexing over plain patterns.
 
 Plain patterns (assign, access, hex) give the base spans. The lexer then reads every assignment of source or configuration
-syntax (name = literal, name: literal, "name": "literal", name => literal, name := literal), follows names that are set to other names, and
-scores each literal by the most sensitive name that it reaches and by how random it looks. Literals at or above the threshold
-become spans of kind literal (the literal alone, without quotes).
+syntax (name = literal, name: literal, "name": "literal", name => literal, name := literal), follows names that are set to other names or
+joined by +, and scores each literal by the most sensitive name that it reaches and by how random it looks, alone or as a piece of what
+it is joined to. Literals at or above the threshold become spans of kind literal (the literal alone, without quotes).
 
-Defined cases: a null or empty text has no spans; repeated rows give repeated results; a name set again keeps its last value
-for what follows; extra columns are ignored.
+What counts as random: the entropy of the characters, of values with at least 8 of them (shorter ones are not told from ordinary words);
+a value with spaces counts only under a name that speaks of a phrase (passphrase, seed phrase, mnemonic).
+
+Defined cases: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an empty table; a name set again keeps its
+last value for what follows; every assignment is visited once and values are kept as sums of their characters, so that a long text costs in
+proportion to its length however often a name is joined to itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this finds the runs
 _OPERATOR = re.compile(r"=>|:=|[=:]")
 _OPERAND = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|\$?\{?([A-Za-z_][A-Za-z0-9_.]*)\}?(?![A-Za-z0-9+/=_.-])|([A-Za-z0-9+/_.=-]+))[ \t]*(\+)?""")
 #: How sensitive a part of a name is.
-_SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 0.9, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "signature": 0.6, "key": 0.6}
+_SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "seedphrase": 1.0, "mnemonic": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 0.9, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "signature": 0.6, "key": 0.6}
+_PHRASE = re.compile(r"phrase|mnemonic", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 
@@ -40,12 +45,27 @@ def name_weight(name: str) -> float:
     return max((_SENSITIVE.get(p, 0.0) for p in [*parts, *map("".join, zip(parts, parts[1:], strict=False))]), default=0.0)
 
 
-def randomness(literal: str) -> float:
-    """0 to 1: entropy of the characters against 3.5 bits, 0 for literals of fewer than 8 characters or with spaces."""
-    if len(literal) < 8 or " " in literal:
-        return 0.0
-    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in Counter(literal).values())
-    return min(1.0, entropy / 3.5)
+class Characters:
+    """Characters of a value as weights: enough for its randomness, and joined in bounded time however long the value gets."""
+
+    MOST = 1e9
+
+    def __init__(self, text: str = "") -> None:
+        self.size, self.weight = float(len(text)), Counter(text)
+
+    def join(self, other: Characters) -> None:
+        self.size += other.size
+        self.weight.update(other.weight)
+        if self.size > self.MOST:
+            self.weight = Counter({c: w * self.MOST / self.size for c, w in self.weight.items()})
+            self.size = self.MOST
+
+    def randomness(self, phrase: bool) -> float:
+        """0 to 1: entropy against 3.5 bits, 0 for fewer than 8 characters, or with spaces where no phrase is meant."""
+        if self.size < 8 or (" " in self.weight and not phrase):
+            return 0.0
+        entropy = -sum(n / self.size * math.log2(n / self.size) for n in self.weight.values() if n)
+        return min(1.0, entropy / 3.5)
 
 
 def _name_before(text: str, at: int) -> str:
@@ -61,32 +81,45 @@ def _name_before(text: str, at: int) -> str:
 
 
 def scored_literals(text: str) -> dict[tuple[int, int], float]:
-    """Start and end of every assigned literal, with its score."""
-    values: dict[str, list[tuple[int, int]]] = {}
-    scores: dict[tuple[int, int], float] = {}
+    """Start and end of every assigned literal, with its score.
+
+    Every assignment is a node that refers to literals and to earlier nodes. Scores of whole values, and the weights of names, pass down to the
+    literals in one sweep from the last node to the first.
+    """
+    nodes: list[tuple[Characters, set[int], set[tuple[int, int]]]] = []
+    own: list[list[float]] = []  # of each node: weight of a name, of a phrase's name, and score of a whole value, that reach it
+    latest: dict[str, int] = {}
     done = 0
     for op in _OPERATOR.finditer(text):
         if op.start() < done or not (name := _name_before(text, op.start())):
             continue
-        at, found = op.end(), []
+        at, value, refers, literals = op.end(), Characters(), set(), set()
         while m := _OPERAND.match(text, at):
             at = m.end()
-            if m[3] is not None and m[3] in values:
-                found += values[m[3]]
+            if m[3] is not None and m[3] in latest:
+                refers.add(latest[m[3]])
+                value.join(nodes[latest[m[3]]][0])
             else:
                 k = next(k for k in (1, 2, 3, 4) if m[k] is not None)
                 if m.end(k) > m.start(k):
-                    found.append(m.span(k))
+                    literals.add(m.span(k))
+                    value.join(Characters(m[k]))
             if not m[5]:
                 break
-        if not found:
+        if not refers and not literals:
             continue
         done = at
-        values[name] = found
-        weight = name_weight(name)
-        for span in found:
-            score = weight * randomness(text[slice(*span)])
-            scores[span] = max(score, scores.get(span, 0.0))
+        latest[name] = len(nodes)
+        nodes.append((value, refers, literals))
+        weight, phrase = name_weight(name), bool(_PHRASE.search(name))
+        own.append([weight, weight * phrase, weight * value.randomness(phrase)])
+    scores: dict[tuple[int, int], float] = {}
+    for (_, refers, literals), reach in zip(reversed(nodes), reversed(own), strict=True):
+        for earlier in refers:
+            own[earlier] = [max(x) for x in zip(own[earlier], reach, strict=True)]
+        for span in literals:
+            alone = Characters(text[slice(*span)])
+            scores[span] = max(scores.get(span, 0.0), reach[2], reach[0] * alone.randomness(False), reach[1] * alone.randomness(True))
     return scores
 
 
