@@ -8,13 +8,14 @@ contexts (copies of one context count once), become spans of kind term wherever
 the windows serve only to estimate. Sanitising replaces base spans by their kind (generalised) and removes the disclosing terms.
 
 Defined cases: a null or empty text has no spans; rows that repeat a doc_id are kept, each with the
-spans of its own text; an empty table gives an empty table; extra columns are kept by sanitise() and ignored by the rest.
+spans of its own text; a long text costs in proportion to its length, whatever it holds; an empty table gives an empty table; extra columns are kept by sanitise() and ignored by the rest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +31,8 @@ WINDOW = 6
 THRESHOLD, SUPPORT = 0.8, 3
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A leftmost match begins where a run of digits begins, or, after a match, which takes whole runs, at a later run.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
@@ -71,24 +73,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Starts and ends of the spans in order, overlapping ones made one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """For each base span: its value, a hash of the context, and the terms around it with their places."""
-    out = []
+    """For each base span: its value, a hash of the context, and the terms around it with their places. Terms of the text are found once."""
+    out, merged = [], _merged(spans)
+    begins = [s for s, _ in merged]
+    terms = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = [s for s, _ in terms], [e for _, e in terms]
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(begins, end)  # the last span that begins before the term's end
+        return k == 0 or merged[k - 1][1] <= start
+
     for kind, start, end in spans:
         value = f"{kind}:{text[start:end].lower()}"
-        # words are looked for in growing pieces of text, so that a span costs what its window costs
-        reach = 32 * WINDOW
-        while True:
-            lo, hi = max(0, start - reach), min(len(text), end + reach)
-            before = [m for m in _TERM.finditer(text, lo, start) if m.start() > lo or lo == 0]
-            after = [m for m in _TERM.finditer(text, end, hi) if m.end() < hi or hi == len(text)]
-            if (len(before) >= WINDOW or lo == 0) and (len(after) >= WINDOW or hi == len(text)):
-                break
-            reach *= 2
-        near = [m for m in before[-WINDOW:] + after[:WINDOW] if not any(s < m.end() and m.start() < e for _, s, e in spans)]
-        terms = [{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in near]
-        seen = hashlib.md5(" ".join(t["term"] for t in terms).encode()).hexdigest()
-        out.append({"entity": value, "context": seen, "terms": terms})
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        near = [t for t in terms[max(0, before - WINDOW) : before] + terms[after : after + WINDOW] if free(*t)]
+        found = [{"term": text[s:e].lower(), "start": s, "end": e} for s, e in near]
+        seen = hashlib.md5(" ".join(t["term"] for t in found).encode()).hexdigest()
+        out.append({"entity": value, "context": seen, "terms": found})
     return out
 
 
