@@ -6,8 +6,8 @@ plan is made on those counts: dominance first fixes sets of one or two pieces th
 places the rest, many equal sequences at a time. Spark then gives each piece its rank among the pieces of its length, and
 the plan says which sequence and offset a rank has.
 
-Defined cases: a null or empty text is the closing id alone; repeated rows are packed each; an empty table gives an empty table; extra
-columns are ignored.
+Defined cases: a null or empty text is the closing id alone; a text longer than a sequence is cut, its first piece being the shorter one; repeated rows are packed
+each; equal lengths are told apart by doc_id and piece; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +44,9 @@ class WordIds(dict):
         byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
         with open(vocabulary, encoding="utf-8") as file:
             model = json.load(file)
-        special = {t["content"] for t in model["added_tokens"] if t["special"]}
-        ranks = {bytes(byte_of[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
+        self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in model["added_tokens"]}
+        self.split = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        ranks = {bytes(byte_of[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in self.added}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
@@ -60,6 +61,12 @@ class WordIds(dict):
         return ids
 
     def of_text(self, text: str) -> bytes:
+        """Added tokens (<|endoftext|>) are cut out first, as the library does, and have their own ids; what stands between is tokenised by itself."""
+        if self.split.search(text) is None:
+            return self._of_plain(text)
+        return b"".join(self.added.get(part) or self._of_plain(part) for part in self.split.split(text) if part)
+
+    def _of_plain(self, text: str) -> bytes:
         """The pattern never joins what stands before a lone space to what follows, so words can be tokenised each by itself."""
         if _TWO_SPACES.search(text):
             return self.encode(text)
@@ -73,7 +80,7 @@ def word_ids(vocabulary: str) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document. Ids are those of the tokenizers library for the vocabulary file, without special tokens."""
+    """The pieces of every document. Ids are those of the tokenizers library for the vocabulary file, with add_special_tokens=False."""
 
     def of_batch(batch: pa.RecordBatch) -> dict[str, object]:
         ids, out = word_ids(vocabulary), []
