@@ -17,15 +17,13 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def test_ids_are_those_of_the_tokenizers_library(corpus):
     rng = random.Random(8)
     bits = [" ", "  ", "\n", " \n", "\t", " ", "　", "\x1c", "\x85", "don't", "I'll", "é", "ß", "日本", "12", "3.5", "!!", "a", "Word", "<|endoftext|>", "_", "🙂"]
-    texts = [t for _, t in corpus if t] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y <|endoftext"] + [t for _, t in corpus if t] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
     words, whole = packing.word_ids(VOCABULARY), tokenizer()
     for text, encoded in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(words.of_text(text), "<u4").tolist() == encoded.ids, repr(text)

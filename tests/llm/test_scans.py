@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,22 @@ def test_base_spans_of_personal_data():
         assert pii.base_spans(text) == brute_pii(text), text
 
 
+def seconds(f, *args):
+    began = time.process_time()
+    f(*args)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize("text", ["7" * 100_000, "1.2.3.4 " * 50_000, "a@b.cd " * 50_000, "+1 (" * 50_000, "1" * 50_000 + "." + "2" * 50_000, "a@" * 50_000, "x" * 100_000 + "@", "7 " * 50_000], ids=str.__len__)
+def test_long_texts_of_personal_data_take_linear_time(text):
+    assert seconds(lambda: pii.contexts(text, pii.base_spans(text))) < 2.5
+
+
+@pytest.mark.parametrize("text", ["x = x + x\n" * 1000, 'x = "abc"\n' + 'x = x + "de"\n' * 20_000, "password=" * 50_000, "a=b=" * 50_000, "token = " + "a" * 500_000, '= "' * 50_000, " " * 200_000 + "=" * 50_000], ids=str.__len__)
+def test_long_texts_of_secrets_take_linear_time(text):
+    assert seconds(secrets.scan_text, text) < 2.5
+
+
 def disclosing_rows():
     rng = random.Random(4)
     # the name stands beside the address in different contexts, and nowhere else; "here" is everywhere
@@ -122,6 +139,18 @@ def test_joined_literals():
     assert min(scores["tR4kq9Zx81"], scores["LmWv02qqX7"]) >= secrets.THRESHOLD
 
 
+def test_short_pieces_of_a_secret_are_found():
+    text = 'a = "tR4k"\nb = "q9Zx8" + "1Lm"\nsecret = a + b + "Wv02"\nlabel = "abcd"'
+    scores = {text[s:e]: v for (s, e), v in secrets.scored_literals(text).items()}
+    assert min(scores[x] for x in ("tR4k", "q9Zx8", "1Lm", "Wv02")) >= secrets.THRESHOLD and scores["abcd"] == 0
+
+
+def test_passphrases_may_have_spaces():
+    text = 'wallet_passphrase = "correct horse battery staple"\npassword = "please enter your password"'
+    scores = {text[s:e]: v for (s, e), v in secrets.scored_literals(text).items()}
+    assert scores["correct horse battery staple"] >= secrets.THRESHOLD > scores["please enter your password"]
+
+
 def brute_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
 
