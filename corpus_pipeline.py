@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents pass the quality rules, lose near copies and personal data, are mixed, and are packed."""
+"""The corpus pipeline: documents pass the quality rules, lose near copies and personal data, are mixed, and are packed.
+
+Defined cases: null, empty and short texts go with the quality rules; a long text passes every stage whole; of rows that repeat a doc_id all go or
+stay together in near-dedup (rows that are equal copies under one id stay), and each is packed; a row without doc_id is linked with nothing, and
+mixing, which draws by doc_id, drops or keeps all such rows alike; an empty table gives an empty table; further columns travel along, whatever
+their names, up to packing, whose result has pieces.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +20,8 @@ from ladderline.llm.packing import pack
 from ladderline.llm.pii import sanitise
 from ladderline.llm.quality_rules import keep_good
 
-#: The good domain is asked for more tokens than there are, so that its documents stay whole; the others are thinned.
-TARGETS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+#: Tokens of good to tokens of toxic documents after mixing. Poor ones have gone with the quality rules, and have no target of their own.
+COMPOSITION = {"good": 0.98, "toxic": 0.02}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
+    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COMPOSITION)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

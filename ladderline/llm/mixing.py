@@ -26,10 +26,13 @@ from ladderline.llm.common import cut, where_computed
 
 #: Domains, and what a label makes of a document.
 DOMAINS = ("good", "poor", "toxic")
-#: Most labelled documents that the classifier is fitted on (those of the smallest hashes), and most words a domain that it knows.
+#: Bounds of the classifier, as parameters: the labelled documents that it is fitted on (those of the smallest hashes), and the words that it takes from a
+#: domain (of at least 5 labelled documents, by at least 4 standard deviations more frequent there; the most telling ones).
 SAMPLE, WORDS = 12_000, 64
 #: Shares of all tokens that the domains are to have.
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+#: In mix(), the share of its tokens that the scarcest domain keeps: what is left for targets to be met with documents of mixed membership.
+KEEP = 0.995
 #: Pulls of rates to 1, taken one after the other. Targets count as met at a relative error of CLOSE; smaller ones than LEAST, at that share of LEAST.
 PULLS = (1e-2, 1e-4, 1e-6)
 PULL, MOST_STEPS, CLOSE, LEAST = PULLS[-1], 200, 1e-4, 1e-3
@@ -120,9 +123,10 @@ def _rate(posterior: Column, moves: list[float], most: float | None) -> Column:
 def fit_rates(rows: DataFrame, targets: dict[str, float], most: float | None = None) -> list[float]:
     """The sum of all steps by domain. rows: n_tokens and _posterior; each step is one sum over all rows.
 
-    Logs the totals that are attained, as a warning where a target is missed.
+    A domain without a target takes no steps of its own. Logs the totals that are attained, as a warning where a target is missed.
     """
     n, log = len(DOMAINS), logging.getLogger(__name__)
+    asked = np.array([d in targets for d in DOMAINS])
     p = [F.col(f"p{k}") for k in range(n)]
     rows = rows.select(F.col("n_tokens").cast("double").alias("w"), *(F.get("_posterior", F.lit(k)).alias(f"p{k}") for k in range(n)))
     first = rows.agg(F.sum("w").alias("total"), *(F.sum(F.col("w") * p[k]).alias(f"s{k}") for k in range(n))).first()
@@ -130,8 +134,8 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], most: float | None = N
     if not total:
         return [0.0] * n
     scale = np.array([max(float(first[f"s{k}"]) / total, 1e-6) for k in range(n)])
-    wanted = np.array([targets[d] for d in DOMAINS])
-    bound = CLOSE * np.maximum(wanted, LEAST)
+    wanted = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    bound = np.where(asked, CLOSE * np.maximum(wanted, LEAST), np.inf)
     pairs = [(j, k) for j in range(n) for k in range(j, n)]
 
     def summed(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -156,10 +160,11 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], most: float | None = N
     for pull in PULLS:
         objective = lambda m, v: v - wanted @ m + pull / 2 * (scale * m) @ m  # noqa: B023, E731
         while steps < MOST_STEPS:
-            gradient = got - wanted + pull * scale * moves
+            gradient = np.where(asked, got - wanted + pull * scale * moves, 0.0)
             if (np.abs(gradient) <= bound / 4).all():
                 break
-            way, length = -np.linalg.lstsq(curved + pull * np.diag(scale), gradient, rcond=1e-15)[0], 1.0
+            way, length = np.zeros(n), 1.0
+            way[asked] = -np.linalg.lstsq((curved + pull * np.diag(scale))[np.ix_(asked, asked)], gradient[asked], rcond=1e-15)[0]
             before = objective(moves, value)
             while steps < MOST_STEPS:
                 new = summed(moves + length * way)
@@ -171,7 +176,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], most: float | None = N
         if (np.abs(got - wanted) <= bound).all():
             break
     met = (np.abs(got - wanted) <= bound).all()
-    log.log(logging.INFO if met else logging.WARNING, "mixing: %s after %d steps%s", ", ".join(f"{d} {g:.6f} for {t:g}" for d, g, t in zip(DOMAINS, got, wanted, strict=True)), steps, "" if met else (": not converged" if steps >= MOST_STEPS else ": out of reach"))
+    log.log(logging.INFO if met else logging.WARNING, "mixing: %s after %d steps%s", ", ".join(f"{d} {g:.6f}" + (f" for {targets[d]:g}" if d in targets else "") for d, g in zip(DOMAINS, got, strict=True)), steps, "" if met else (": not converged" if steps >= MOST_STEPS else ": out of reach"))
     return [float(m) for m in moves]
 
 
@@ -184,11 +189,26 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     return rows.select("doc_id", "n_tokens", *posteriors, F.round(_rate(F.col("_posterior"), moves, most), 6).alias("rate"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The documents thinned to the rates, which are at most 1 here: a document stays if its hash, as a share, is below its rate."""
+def reachable(rows: DataFrame, composition: dict[str, float], keep: float = KEEP) -> dict[str, float]:
+    """Targets, as shares of all tokens there are, that have these proportions and that documents used at most once can meet.
+
+    The domain that is scarcest against its proportion keeps the share `keep` of its tokens.
+    """
+    found = rows.agg(F.sum(F.col("n_tokens").cast("double")).alias("total"), *(F.sum(F.col("n_tokens") * F.get("_posterior", F.lit(k))).alias(d) for k, d in enumerate(DOMAINS))).first()
+    if not found["total"]:
+        return dict.fromkeys(composition, 0.0)
+    total = keep * min(found[d] / found["total"] / share for d, share in composition.items() if share)
+    return {d: share * total for d, share in composition.items()}
+
+
+def mix(docs: DataFrame, labels: DataFrame, composition: dict[str, float], keep: float = KEEP) -> DataFrame:
+    """The documents thinned to rates, which are at most 1 here, that give the domains these proportions of tokens.
+
+    A document stays if its hash, as a share, is below its rate.
+    """
     model = fit_domains(docs, labels)
-    posteriors = with_posteriors(docs.select("doc_id", "text"), model)
-    moves = fit_rates(cut(posteriors.select("n_tokens", "_posterior"), "mix-posteriors"), targets, 1.0)
+    known = cut(with_posteriors(docs.select("doc_id", "text"), model).select("n_tokens", "_posterior"), "mix-posteriors")
+    moves = fit_rates(known, reachable(known, composition, keep), 1.0)
     drawn = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 20)) / (1 << 20)
     rows = with_posteriors(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), model)
     return where_computed(rows, drawn < _rate(F.col("_posterior"), moves, 1.0)).select("_row.*")

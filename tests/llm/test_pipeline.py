@@ -1,7 +1,10 @@
 """The pipeline's stages, each against plain rules on what it was given."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ladderline.llm import mixing, pii, quality_rules
+from tests.llm.conftest import SCHEMA, frame
 from tests.llm.test_dedup import brute_components
 from tests.llm.test_quality import brute_measures
 from tests.llm.test_scans import brute_pii
@@ -31,8 +34,11 @@ def test_stages(spark):
     for d, r in rows["pii"].items():
         before = rows["near_dedup"][d].text
         assert not brute_pii(r.text) and (r.text == before or brute_pii(before))
-    rates = {r.doc_id: r.rate for r in mixing.mixing_rates(given["mixing"], spark.read.parquet(f"{SF}/labels.parquet"), corpus_pipeline.TARGETS, 1.0).collect()}
-    assert {d for d, rate in rates.items() if rate == 1} <= set(rows["mixing"]) <= set(rates)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    known = mixing.with_posteriors(given["mixing"], mixing.fit_domains(given["mixing"], labels)).select("doc_id", "n_tokens", "_posterior").persist()
+    moves = mixing.fit_rates(known, mixing.reachable(known, corpus_pipeline.COMPOSITION), 1.0)
+    rates = {r.doc_id: r.rate for r in known.select("doc_id", mixing._rate(F.col("_posterior"), moves, 1.0).alias("rate")).collect()}
+    assert {d for d, rate in rates.items() if rate == 1} <= set(rows["mixing"]) <= {d for d, rate in rates.items() if rate > 0}
     pieces = out["packing"].collect()
     assert {p.doc_id for p in pieces} == set(rows["mixing"])
     ends = {}
@@ -41,3 +47,27 @@ def test_stages(spark):
         ends[p.sequence_id] = p.offset + p.length
     assert max(ends.values()) <= 2048
     assert pii.sanitised_text("a b@c.de d", "email:2:8") == "a [EMAIL] d"
+
+
+ODD = [(1, None, "en"), (2, "", "en"), (3, " \n ", None), (4, "mail a@b.cd " + " ".join(f"w{k}" for k in range(300)), "en"), (4, "mail a@b.cd " + " ".join(f"w{k}" for k in range(300)), "en"), (5, " ".join(f"w{k}" for k in range(299)), "xx"), (None, " ".join(f"v{k}" for k in range(200)), "en"), (6, " ".join(f"x{k % 4000}" for k in range(60_000)), "en"), (7, "short", "de")]
+
+
+def through(spark, docs, folder):
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut(stage(spark, docs, folder), "test-odd")
+    return docs
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Nulls, empty and long texts, repeated rows, unknown languages and columns whose names the stages use themselves."""
+    docs = frame(spark, ODD).withColumns({c: F.lit("mine") for c in ("n_words", "kept", "component_id", "spans", "rate", "row", "piece", "hash", "_words")})
+    pieces = through(spark, docs, SF).collect()
+    by = {}
+    for p in pieces:
+        by.setdefault(p.doc_id, []).append(p)
+    assert set(by) == {4, None} and sum(p.length for p in by[4]) > 300
+
+
+def test_an_empty_table_passes_all_stages(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert through(spark, docs, SF).collect() == []

@@ -208,7 +208,8 @@ def test_rates_are_those_of_a_dense_solver(spark):
 def test_mixing_keeps_good_documents_and_columns(spark):
     docs, labels = labelled(spark)
     docs = docs.withColumn("n_tokens", F.lit("mine"))
-    out = mixing.mix(docs, labels, {"good": 0.97, "poor": 0.02, "toxic": 0.01})
+    composition = {"good": 0.95, "poor": 0.03, "toxic": 0.02}
+    out = mixing.mix(docs, labels, composition)
     assert out.columns == docs.columns
     kept = {r.doc_id for r in out.collect()}
     good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
@@ -216,10 +217,29 @@ def test_mixing_keeps_good_documents_and_columns(spark):
     assert len(good & kept) >= 0.98 * len(good) and len(rest & kept) <= 0.5 * len(rest)
 
 
+def test_mixing_meets_the_composition(spark):
+    """Expected tokens within 0.1 percent of each target; kept ones, which are drawn, near it; a domain without a target is left alone."""
+    docs, labels = labelled(spark)
+    known = mixing.with_posteriors(docs, mixing.fit_domains(docs, labels)).select("doc_id", "n_tokens", "_posterior").persist()
+    for composition in ({"good": 0.95, "poor": 0.03, "toxic": 0.02}, {"good": 0.96, "toxic": 0.04}):
+        targets = mixing.reachable(known, composition)
+        moves = mixing.fit_rates(known, targets, 1.0)
+        kept = {r.doc_id for r in mixing.mix(docs, labels, composition).collect()}
+        rows = known.withColumn("rate", mixing._rate(F.col("_posterior"), moves, 1.0)).collect()
+        total = sum(r.n_tokens for r in rows)
+        expected, drawn = ({d: sum(r.n_tokens * r._posterior[k] * share(r) for r in rows) / total for k, d in enumerate(mixing.DOMAINS)} for share in (lambda r: r.rate, lambda r: r.doc_id in kept))
+        assert all(abs(expected[d] - t) <= 1e-3 * t for d, t in targets.items()), (expected, targets)
+        for d, t in targets.items():
+            spread = sum((r.n_tokens * r._posterior[mixing.DOMAINS.index(d)]) ** 2 * r.rate * (1 - r.rate) for r in rows) ** 0.5 / total
+            assert abs(drawn[d] - t) <= 4 * spread + 1e-3 * t, (drawn, targets)
+        assert all(0 <= r.rate <= 1 for r in rows) and (("poor" in targets) or moves[1] == 0)
+    known.unpersist()
+
+
 def test_mixing_odd_tables(spark):
     docs, labels = labelled(spark, 40)
     odd = docs.unionByName(frame(spark, [(900, None), (901, ""), (901, ""), (None, "x")]))
     assert mixing.mixing_rates(odd, labels.unionByName(labels)).count() == 44
     assert mixing.mixing_rates(docs, spark.createDataFrame([], LABELS)).count() == 40
     empty = spark.createDataFrame([], SCHEMA)
-    assert mixing.mixing_rates(empty, labels).collect() == [] and mixing.mix(empty, labels).collect() == []
+    assert mixing.mixing_rates(empty, labels).collect() == [] and mixing.mix(empty, labels, {"good": 0.9, "toxic": 0.1}).collect() == []
