@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from ladderline.model import Settings
-from ladderline.plans.insights import report, summary
+from ladderline.plans.insights import print_report
 from ladderline.sources.config import categories, load_settings
 from ladderline.sources.store import read_history
 
@@ -35,7 +35,7 @@ def main(args: list[str] | None = None) -> int:
         parser.error("collection needs a transport: call ladderline.plans.collect.run_collection with one")
     spark = SparkSession.builder.appName("ladderline").getOrCreate()
     rows = read_history(spark, found.history)
-    print(report(summary(rows, found.market, None, settings.thresholds, settings.shock_threshold, settings.lookback_days)))
+    print_report(rows, market=found.market, thresholds=settings.thresholds, shock_threshold=settings.shock_threshold, lookback_days=settings.lookback_days)
     return 0
 
 

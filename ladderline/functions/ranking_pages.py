@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import yaml
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,14 +28,21 @@ SELECTORS = {
         "heuristic": {"rank_pattern": r"(\d+)位?", "name_class_patterns": ["product-name", "item-name", "title"], "container_class_patterns": ["ranking", "product", "item"]},
     },
 }
+#: What a page without items says.
+NO_ITEMS, NO_TIER = "no tier found an item", "primary, fallback and heuristic tiers gave nothing"
 #: By market: what product links contain, and whether a name comes from the first link of all (with its least length) or from product links.
 _LINKS = {"amazon_us": (("/dp/",), "a", 5), "cosme_jp": (("/products/", "/item/"), "a[href*='/products/'], a[href*='/item/']", 2)}
 _RANK_FORMS = [re.compile(p) for p in (r"#(\d+)", r"(\d+)位", r"(\d+)등", r"^(\d+)$", r"(\d+)")]
 
 
 def load_selectors(path: str) -> dict:
-    with open(path, encoding="utf-8") as file:
-        return yaml.safe_load(file) or {}
+    """The selectors of a file, read anew with every call; empty, with a warning, where it is missing or can't be read."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            return yaml.safe_load(file) or {}
+    except (OSError, yaml.YAMLError) as e:
+        logging.getLogger(__name__).warning("no selectors from %s: %s", path, e)
+        return {}
 
 
 def cleaned(text: str | None) -> str:
@@ -135,7 +143,7 @@ def parse_page(html: str | None, base_url: str, market: str, top_n: int = 100, s
     """Status, items, next page, error and notes of a ranking page; the first tier that finds an item wins."""
     nothing = {"items": [], "next_page_url": None, "error_message": None, "notes": ""}
     try:
-        own = (selectors or SELECTORS)[market]
+        own = (SELECTORS if selectors is None else selectors).get(market) or {}
         root = parse_html(html or "")
         for name, status, notes in (("primary", "ok", ""), ("fallback", "partial", "Used fallback selectors")):
             tier = own.get(name, {})
@@ -149,7 +157,7 @@ def parse_page(html: str | None, base_url: str, market: str, top_n: int = 100, s
         guess = _guess_by_links if market == "amazon_us" else _guess_by_classes
         if items := guess(root, own.get("heuristic", {}), base_url, top_n):
             return nothing | {"status": "partial", "items": items, "notes": "Used heuristic parsing"}
-        return nothing | {"status": "failed", "error_message": "Could not extract ranking items with any method", "notes": "All selectors and heuristics failed"}
+        return nothing | {"status": "failed", "error_message": NO_ITEMS, "notes": NO_TIER}
     except Exception as e:  # noqa: BLE001  a page that can't be parsed is a result, not an error
         return nothing | {"status": "failed", "error_message": str(e)}
 
@@ -158,24 +166,34 @@ ITEM = T.StructType([T.StructField("rank", T.IntegerType()), *(T.StructField(n,
 PAGE = T.StructType([T.StructField("status", T.StringType()), T.StructField("items", T.ArrayType(ITEM)), *(T.StructField(n, T.StringType()) for n in ("next_page_url", "error_message", "notes"))])
 
 
-@F.pandas_udf(PAGE)
-def parsed_page(html: pd.Series, base_url: pd.Series, market: pd.Series, top_n: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(*x) for x in zip(html, base_url, market, top_n.astype(int), strict=True)], columns=PAGE.names)
+def page_parser(selectors: dict | None = None) -> Callable[..., Column]:
+    """A function of the columns html, base_url, market and top_n that gives the parsed page, by these selectors or the built-in ones."""
+
+    @F.pandas_udf(PAGE)
+    def parsed(html: pd.Series, base_url: pd.Series, market: pd.Series, top_n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_page(*x, selectors) for x in zip(html, base_url, market, top_n.astype(int), strict=True)], columns=PAGE.names)
+
+    return parsed
+
+
+parsed_page = page_parser()
 
 
 ROW = T.StructType([T.StructField(n, T.IntegerType() if n == "rank" else T.StringType()) for n in ("status", "rank", "product_name_raw", "product_url", "brand_raw", "item_notes", "next_page_url", "error_message", "notes")])
 
 
-@F.udtf(returnType=ROW)
-class ParseRanking:
-    """parse_ranking(html, base_url, market, top_n): a row for each item, or one without an item where a page has none."""
+def table_function(selectors: dict | None = None) -> type:
+    """parse_ranking(html, base_url, market, top_n) by these selectors or the built-in ones: a row for each item, or one without an item where a page has none."""
+
+    class ParseRanking:
+        def eval(self, html: str, base_url: str, market: str, top_n: int) -> Iterator[tuple]:
+            page = parse_page(html, base_url, market, top_n, selectors)
+            for item in page["items"] or [dict.fromkeys(ITEM.names)]:
+                yield (page["status"], *(item[n] for n in ITEM.names), page["next_page_url"], page["error_message"], page["notes"])
 
-    def eval(self, html: str, base_url: str, market: str, top_n: int) -> Iterator[tuple]:
-        page = parse_page(html, base_url, market, top_n)
-        for item in page["items"] or [dict.fromkeys(ITEM.names)]:
-            yield (page["status"], *(item[n] for n in ITEM.names), page["next_page_url"], page["error_message"], page["notes"])
+    return F.udtf(ParseRanking, returnType=ROW)
 
 
-def register(spark: SparkSession) -> None:
-    """Makes parse_ranking() known to SQL, for LATERAL joins."""
-    spark.udtf.register("parse_ranking", ParseRanking)
+def register(spark: SparkSession, selectors: dict | None = None, name: str = "parse_ranking") -> None:
+    """Makes the table function known to SQL, for LATERAL joins."""
+    spark.udtf.register(name, table_function(selectors))

@@ -59,9 +59,11 @@ def blocking_reason(status_code: Column, html: Column, redirects: Column | None
     return out.when(indicator.isNotNull(), F.concat(F.lit("captcha_indicator:"), indicator))
 
 
-def run_status(stop_reason: Column) -> Column:
-    """A run's status from the reason that it stopped for."""
-    return F.when(stop_reason.isNull() | (stop_reason == ""), "completed").when(F.contains(stop_reason, F.lit("budget")), "stopped_by_budget").when(F.contains(stop_reason, F.lit("robots")), "stopped_by_robots").when(F.contains(stop_reason, F.lit("blocked")), "stopped_by_block").otherwise("failed")
+def run_status(stop_reason: Column, items: Column) -> Column:
+    """A run's status from the reason that it was stopped for, or else from whether it collected anything."""
+    named = lambda word: F.contains(stop_reason, F.lit(word))
+    stopped = F.when(named("budget"), "stopped_by_budget").when(named("robots"), "stopped_by_robots").when(named("blocked"), "blocked").otherwise("failed")
+    return F.when(F.coalesce(stop_reason, F.lit("")) != "", stopped).when(items > 0, "success").otherwise("failed")
 
 
 def should_retry(status_code: Column, attempt: Column, max_retries: int = 3) -> Column:

@@ -38,7 +38,7 @@ RUN_LOG = T.StructType(
 FETCH_LOG = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
+        T.StructField("ts", T.TimestampNTZType()),
         T.StructField("url", T.StringType()),
         T.StructField("host", T.StringType()),
         T.StructField("attempt", T.IntegerType()),
@@ -53,7 +53,8 @@ FETCH_LOG = T.StructType(
 SERIES = ["product_url", "market", "category_key"]
 DEFAULT_THRESHOLDS = (5, 10, 100)
 PARSE_STATUSES = ("ok", "partial", "failed")
-RUN_STATUSES = ("running", "completed", "partial", "stopped_by_budget", "stopped_by_robots", "stopped_by_block", "failed")
+#: How a run may end. A run that has not ended counts as a success so far.
+RUN_STATUSES = ("success", "partial", "failed", "stopped_by_robots", "stopped_by_budget", "blocked")
 
 
 @dataclass(frozen=True)
@@ -81,4 +82,5 @@ class Settings:
     brand_filter: bool = False
     brand_keywords: tuple[str, ...] = ()
     user_agent: str = "ladderline/1.0"
+    respect_robots_crawl_delay: bool = True
     categories: tuple[Category, ...] = field(default_factory=tuple)

@@ -1,4 +1,7 @@
-"""What a log of requests says about budgets, failures and waits."""
+"""What a log of requests says about budgets, failures and waits.
+
+Requests are counted within keys (host, client, run); without one, a whole log would be one window in one task, so keys have to be given.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +9,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def budget_audit(events: DataFrame, budget: int = 25, by: list[str] | None = None) -> DataFrame:
-    """Each successful request's number within its day and what is left of the day's budget."""
-    keys = [*(by or []), "day"]
+def _keyed(by: list[str]) -> list[str]:
+    if not by:
+        raise ValueError("an audit needs the columns that requests are counted by")
+    return list(by)
+
+
+def budget_audit(events: DataFrame, by: list[str], budget: int = 25) -> DataFrame:
+    """Each successful request's number within its day and what is left of the day's budget. A day may be key enough: by may be empty here."""
+    keys = [*by, "day"]
     rows = events.where("success").withColumn("day", F.to_date("ts"))
     n = F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
     return rows.withColumn("requests", n.cast("int")).withColumns({"remaining": F.greatest(F.lit(0), F.lit(budget) - F.col("requests")), "exhausted": F.col("requests") >= budget})
 
 
-def circuit_audit(events: DataFrame, limit: int = 5, by: list[str] | None = None) -> DataFrame:
+def circuit_audit(events: DataFrame, by: list[str], limit: int = 5) -> DataFrame:
     """Consecutive failures after each request, and why the circuit would be open.
 
     A success ends a run of failures. The first reason that applies stands: status 403, a reason that names a captcha or
     a block, one that names robots, and the limit of consecutive failures.
     """
-    keys = by or []
+    keys = _keyed(by)
     w = Window.partitionBy(*keys).orderBy("ts", "event_id")
     rows = events.withColumn("run", F.sum(F.col("success").cast("int")).over(w))
     in_run = Window.partitionBy(*keys, "run").orderBy("ts", "event_id")
@@ -31,26 +40,25 @@ def circuit_audit(events: DataFrame, limit: int = 5, by: list[str] | None = None
     return rows.withColumn("stop_reason", F.when(failed, stop)).withColumn("is_open", F.max(F.col("stop_reason").isNotNull()).over(w)).drop("run")
 
 
-def wait_audit(events: DataFrame, delay: float = 3.0, by: list[str] | None = None) -> DataFrame:
+def wait_audit(events: DataFrame, by: list[str], delay: float = 3.0) -> DataFrame:
     """How long each request would have had to wait for the one before; the first waits the whole delay."""
-    w = Window.partitionBy(*(by or [])).orderBy("ts", "event_id")
+    w = Window.partitionBy(*_keyed(by)).orderBy("ts", "event_id")
     gap = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(w).cast("timestamp").cast("double")
     return events.withColumn("gap_s", gap).withColumn("wait_s", F.greatest(F.lit(0.0), F.lit(delay) - F.coalesce("gap_s", F.lit(0.0))))
 
 
-def guard_stats(events: DataFrame, budget: int = 25, limit: int = 5, by: list[str] | None = None) -> DataFrame:
+def guard_stats(events: DataFrame, by: list[str], budget: int = 25, limit: int = 5) -> DataFrame:
     """Totals by key: requests, successes, blocked ones, the highest run of failures, days on which the budget ran out."""
-    keys = by or []
-    totals = circuit_audit(events, limit, keys).groupBy(*keys).agg(
+    keys = _keyed(by)
+    totals = circuit_audit(events, keys, limit).groupBy(*keys).agg(
         F.count("*").alias("total_requests"),
         F.count_if("success").alias("successful_requests"),
         F.count_if(F.col("stop_reason") == "blocked").alias("blocked_requests"),
         F.max("consecutive_failures").alias("longest_failures"),
         F.max("is_open").alias("circuit_opened"),
     )
-    days = budget_audit(events, budget, keys).groupBy(*keys, "day").agg(F.max("requests").alias("n")).groupBy(*keys).agg(F.count_if(F.col("n") >= budget).alias("exhausted_days"))
-    joined = totals.join(days, keys, "left") if keys else totals.crossJoin(days)  # without keys both are one row
-    return joined.withColumn("exhausted_days", F.coalesce("exhausted_days", F.lit(0).cast("long")))
+    days = budget_audit(events, keys, budget).groupBy(*keys, "day").agg(F.max("requests").alias("n")).groupBy(*keys).agg(F.count_if(F.col("n") >= budget).alias("exhausted_days"))
+    return totals.join(days, keys, "left").withColumn("exhausted_days", F.coalesce("exhausted_days", F.lit(0).cast("long")))
 
 
 def last_failures(events: DataFrame, n: int = 5) -> DataFrame:
@@ -67,3 +75,8 @@ def quota_rows(pages: DataFrame, target: int = 100) -> DataFrame:
 def market_totals(results: DataFrame) -> DataFrame:
     """Items and successful categories by market."""
     return results.groupBy("market").agg(F.sum("items_collected").alias("items"), F.count_if("success").alias("succeeded"), F.count("*").alias("categories"))
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """Items of a whole run, in one row."""
+    return results.agg(F.coalesce(F.sum("items_collected"), F.lit(0)).cast("long").alias("total_items"), F.count("*").alias("categories"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderline.model import SERIES
@@ -18,8 +18,20 @@ def _all_shocks(history: DataFrame, threshold: int) -> DataFrame:
     return rows.withColumns({"date": F.col("date_kst"), "new_rank": F.col("rank"), "change_type": F.when(F.col("change") > 0, "improved").otherwise("dropped")})
 
 
+def order() -> list[Column]:
+    return [F.desc(F.abs("change")), F.col("date"), F.col("first_seq"), F.col("row_seq"), *map(F.col, SERIES)]
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.desc(F.abs("change")), "date", "first_seq", "row_seq", *SERIES).select(*COLUMNS)
+    return rows.orderBy(*order()).select(*COLUMNS)
+
+
+def with_recency(history: DataFrame, threshold: int = 3, days: int = 7) -> DataFrame:
+    """All shocks, unsorted; is_recent says whether one is of the last days, counted from the latest shock (all are if its date can't be read)."""
+    found = _all_shocks(history, threshold)
+    # one row, whatever the history
+    latest = found.agg(F.max("date").alias("latest")).select(F.date_format(F.date_sub(parsed_date(F.col("latest")), days), "yyyy-MM-dd").alias("cutoff"))
+    return found.crossJoin(F.broadcast(latest)).withColumn("is_recent", F.col("cutoff").isNull() | (F.col("date") >= F.col("cutoff")))
 
 
 def shocks(history: DataFrame, threshold: int = 3) -> DataFrame:
@@ -31,10 +43,8 @@ def shocks(history: DataFrame, threshold: int = 3) -> DataFrame:
 
 
 def recent_shocks(history: DataFrame, threshold: int = 3, days: int = 7) -> DataFrame:
-    """Shocks of the last days, counted from the latest shock; all of them if its date can't be read."""
-    found = _all_shocks(history, threshold)
-    latest = found.agg(F.max("date").alias("latest")).select(F.date_format(F.date_sub(parsed_date(F.col("latest")), days), "yyyy-MM-dd").alias("cutoff"))
-    return _in_order(found.join(F.broadcast(latest), F.col("cutoff").isNull() | (F.col("date") >= F.col("cutoff"))))
+    """Shocks of the last days, largest first."""
+    return _in_order(with_recency(history, threshold, days).where("is_recent"))
 
 
 def improvements(history: DataFrame, threshold: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderline.model import SERIES
@@ -13,8 +13,8 @@ from ladderline.operators.series import in_series, prepared, stable_order, with_
 COLUMNS = ["product_name", "product_url", "market", "category_key", "top_n_threshold", "streak_days", "streak_start", "streak_end", "current_rank", "is_active"]
 
 
-def streaks(history: DataFrame, thresholds: Sequence[int] | None = None) -> DataFrame:
-    """The longest streak of each series and threshold, the earliest of equals, longest first.
+def best_streaks(history: DataFrame, thresholds: Sequence[int] | None = None) -> DataFrame:
+    """The longest streak of each series and threshold, the earliest of equals, unsorted, with what order() needs.
 
     A streak is a run of rows in the first n whose dates are at most a day apart; it counts rows. A run that is cut
     off by a date that can't be read does not compete. is_active says whether a run is open at the series' last valid row.
@@ -42,8 +42,16 @@ def streaks(history: DataFrame, thresholds: Sequence[int] | None = None) -> Data
     )
     best = F.row_number().over(Window.partitionBy(*SERIES, "n", "threshold_pos").orderBy(F.desc("streak_days"), "run"))
     found = runs.where("not lost").withColumn("best", best).where("best = 1")
-    found = found.withColumn("current_rank", F.when(F.col("is_active"), F.col("last_rank"))).withColumn("top_n_threshold", F.col("n"))
-    return found.orderBy(F.desc("streak_days"), *stable_order()).select(*COLUMNS)
+    return found.withColumn("current_rank", F.when(F.col("is_active"), F.col("last_rank"))).withColumn("top_n_threshold", F.col("n"))
+
+
+def order() -> list[Column]:
+    return [F.desc("streak_days"), *stable_order()]
+
+
+def streaks(history: DataFrame, thresholds: Sequence[int] | None = None) -> DataFrame:
+    """The best streaks, longest first."""
+    return best_streaks(history, thresholds).orderBy(*order()).select(*COLUMNS)
 
 
 def active_streaks(history: DataFrame, thresholds: Sequence[int] | None = None) -> DataFrame:

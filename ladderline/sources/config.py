@@ -8,7 +8,9 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from ladderline.functions.ranking_pages import SELECTORS
+from ladderline.functions.text import BLOCKING_STATUS_CODES, CAPTCHA_INDICATORS, REDIRECT_PATTERNS
 from ladderline.model import DEFAULT_THRESHOLDS, Category, Settings
+from ladderline.sources.store import LEAST_ITEMS, MOST_ITEMS
 
 
 def project_root(start: str | Path = ".") -> Path:
@@ -36,6 +38,7 @@ def settings_of(found: dict) -> Settings:
         brand_filter=bool(brand.get("enabled", False)),
         brand_keywords=tuple(brand.get("keywords") or ()),
         user_agent=limits.get("user_agent", Settings.user_agent),
+        respect_robots_crawl_delay=bool(limits.get("respect_robots_crawl_delay", True)),
         categories=tuple(Category(c["url"], c["category_key"], c["market"]) for c in found.get("categories") or ()),
     )
 
@@ -67,3 +70,36 @@ def selector_with_fallback(market: str, name: str, known: dict | None = None) ->
 def selector_attribute(market: str, tier: str, name: str, known: dict | None = None) -> str | None:
     found = (known or SELECTORS).get(market, {}).get(tier, {}).get(name)
     return found.get("attr") if isinstance(found, dict) else None
+
+
+def market_selectors(market: str, known: dict | None = None) -> dict:
+    """All tiers of a market; empty for an unknown one."""
+    return (known or SELECTORS).get(market) or {}
+
+
+def heuristic(market: str, name: str, known: dict | None = None) -> object:
+    """A pattern of the market's heuristics, or None."""
+    return (market_selectors(market, known).get("heuristic") or {}).get(name)
+
+
+def common_patterns(known: dict | None = None) -> dict:
+    """What marks a blocked answer on any market: the file's section, or the built-in values where no file is given."""
+    if known is None:
+        return {"blocking_status_codes": list(BLOCKING_STATUS_CODES), "captcha_indicators": list(CAPTCHA_INDICATORS), "suspicious_redirect_patterns": list(REDIRECT_PATTERNS)}
+    return known.get("common") or {}
+
+
+def validation_rules(known: dict | None = None) -> dict:
+    """How many items a page may have: the file's section, or the built-in values where no file is given."""
+    return {"min_items_per_page": LEAST_ITEMS, "max_items_per_page": MOST_ITEMS} if known is None else known.get("validation") or {}
+
+
+def selector_table(spark: SparkSession, known: dict | None = None) -> DataFrame:
+    """Every selector as a row: market, tier, name, css, alt_css, attr."""
+    rows = []
+    for market, tiers in (known or SELECTORS).items():
+        for tier in ("primary", "fallback"):
+            for name, found in (tiers.get(tier) or {}).items() if isinstance(tiers, dict) else ():
+                how = found if isinstance(found, dict) else {"css": found}
+                rows.append((market, tier, name, how.get("css"), how.get("alt_css"), how.get("attr")))
+    return spark.createDataFrame(rows, "market string, tier string, name string, css string, alt_css string, attr string")

@@ -92,7 +92,7 @@ def test_empty_history(spark):
 
 def test_report(spark):
     text = report(summary(history(spark, STREAKS)))
-    assert text.count("---") >= 8 and "in the top 5 for 5 days" in text and "No recent exits" not in text
+    assert text.count("---") >= 8 and "Top5 for 5 days (current rank: #3)" in text and "No recent exits" not in text
     assert "#20 -> #5 (+15)" in report(summary(history(spark, SHOCKS)))
 
 

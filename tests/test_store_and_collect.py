@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ladderline.model import Category, Settings
 from ladderline.operators import audits
-from ladderline.plans.collect import KST, Answer, Guard, run_collection
+from ladderline.plans.collect import KST, Answer, Guard, RunLog, run_collection
 from ladderline.sources import store
 from ladderline.streaming import ranks
 
@@ -42,11 +42,11 @@ def test_filters_that_are_off_by_default(spark):
 
 
 def requests(spark, *found):
-    return spark.createDataFrame([(k, datetime(2024, 1, 1) + timedelta(seconds=2 * k), s == 200, s, r) for k, (s, r) in enumerate(found)], "event_id long, ts timestamp_ntz, success boolean, status_code int, reason string")
+    return spark.createDataFrame([(k, datetime(2024, 1, 1) + timedelta(seconds=2 * k), s == 200, s, r) for k, (s, r) in enumerate(found)], "event_id long, ts timestamp_ntz, success boolean, status_code int, reason string").withColumn("client", F.lit("c"))
 
 
 def test_circuit(spark):
-    audit = lambda *found, limit=5: [(r.consecutive_failures, r.total_failures, r.stop_reason, r.is_open) for r in audits.circuit_audit(requests(spark, *found), limit).orderBy("event_id").collect()]
+    audit = lambda *found, limit=5: [(r.consecutive_failures, r.total_failures, r.stop_reason, r.is_open) for r in audits.circuit_audit(requests(spark, *found), ["client"], limit).orderBy("event_id").collect()]
     assert audit((500, ""), (500, ""), (200, "")) == [(1, 1, None, False), (2, 2, None, False), (0, 2, None, False)]
     assert audit((500, ""), (500, ""), (500, ""), limit=3)[-1] == (3, 3, "stopped_by_failures", True)
     assert audit((403, ""), (200, "")) == [(1, 1, "blocked", True), (0, 1, None, True)]
@@ -55,11 +55,14 @@ def test_circuit(spark):
 
 def test_budget_waits_and_stats(spark):
     log = requests(spark, (200, ""), (200, ""), (500, ""), (200, ""))
-    assert [(r.requests, r.remaining, r.exhausted) for r in audits.budget_audit(log, 3).orderBy("event_id").collect()] == [(1, 2, False), (2, 1, False), (3, 0, True)]
-    assert [r.wait_s for r in audits.wait_audit(log, 3.0).orderBy("event_id").collect()] == [3.0, 1.0, 1.0, 1.0]
-    stats = audits.guard_stats(log, 3).first()
+    assert [(r.requests, r.remaining, r.exhausted) for r in audits.budget_audit(log, [], 3).orderBy("event_id").collect()] == [(1, 2, False), (2, 1, False), (3, 0, True)]
+    assert [r.wait_s for r in audits.wait_audit(log, ["client"], 3.0).orderBy("event_id").collect()] == [3.0, 1.0, 1.0, 1.0]
+    stats = audits.guard_stats(log, ["client"], 3).first()
     assert (stats.total_requests, stats.successful_requests, stats.longest_failures, stats.exhausted_days) == (4, 3, 1, 1)
     assert [r.event_id for r in audits.last_failures(log).collect()] == [2]
+    for audit in (audits.circuit_audit, audits.wait_audit, audits.guard_stats):
+        with pytest.raises(ValueError, match="columns"):
+            audit(log, [])
 
 
 def page(ranks, after=None):
@@ -89,26 +92,87 @@ def guard(web, **settings):
 def test_collection(spark, tmp_path):
     web = Web({"https://s.com/a": Answer(200, page([1, 2], "/a2")), "https://s.com/a2": Answer(200, page([3, 4])), "https://s.com/b": [Answer(503, ""), Answer(200, page([1]))]})
     g = guard(web, top_n_target=3)
-    paths = str(tmp_path / "h"), str(tmp_path / "r")
+    paths = [str(tmp_path / x) for x in "hrf"]
     out = run_collection(spark, g, *paths)
-    assert (out["status"], out["added"], g.used) == ("completed", 4, 3) and [r.success for r in out["results"]] == [True, True]
+    assert (out["status"], out["added"], g.used) == ("success", 4, 3) and [r.success for r in out["results"]] == [True, True]
     assert sorted((r.category_key, r.rank) for r in store.read_history(spark, paths[0]).collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
     assert 5.0 in web.slept and g.fetch_log(spark).count() == 4
     web.pages["https://s.com/b"] = Answer(200, page([1]))
     assert run_collection(spark, g, *paths)["added"] == 0
-    assert store.read_run_logs(spark, paths[1]).count() == 2
-
-
-@pytest.mark.parametrize(("answer", "status", "asked"), [(Answer(403, ""), "stopped_by_block", 1), (Answer(404, "<p>no ranking</p>"), "completed", 2), (Answer(200, "<body>robot check</body>"), "stopped_by_block", 1)])
+    logs = store.read_run_logs(spark, paths[1]).orderBy("started_at_kst").collect()
+    assert [(r.status, r.requests_used, r.blocked_reason, r.notes) for r in logs] == [("success", 3, "", "Collected 4 items"), ("success", 6, "", "Collected 4 items")]
+    log = store.read_fetch_log(spark, paths[2])
+    assert log.count() == 7 and store.requests_on(log, "2024-01-01") == 6 and store.requests_on(log, "2024-01-02") == 0
+
+
+def test_the_budget_is_that_of_a_day(spark, tmp_path):
+    """It is counted from the stored log by a new process, and starts anew with a new day."""
+    paths = [str(tmp_path / x) for x in "hrf"]
+    web = Web({"https://s.com/a": Answer(200, page([1])), "https://s.com/b": Answer(200, page([2]))})
+    assert run_collection(spark, guard(web, max_requests_per_day=3), *paths)["status"] == "success"
+    second = guard(web, max_requests_per_day=3)
+    assert run_collection(spark, second, *paths)["status"] == "stopped_by_budget" and len(web.asked) == 3
+    assert second.remaining == 0
+    web.time += timedelta(days=1)
+    assert second.remaining == 3
+    assert run_collection(spark, guard(web, max_requests_per_day=3), *paths)["status"] == "success" and len(web.asked) == 5
+
+
+def test_the_log_is_written_after_an_error(spark, tmp_path):
+    paths = [str(tmp_path / x) for x in "hrf"]
+    web = Web({"https://s.com/a": Answer(200, page([1]))})  # a KeyError for the second
+    with pytest.raises(KeyError):
+        run_collection(spark, guard(web), *paths)
+    assert store.read_fetch_log(spark, paths[2]).count() == 1 and store.read_history(spark, paths[0]).count() == 1
+    assert [r.status for r in store.read_run_logs(spark, paths[1]).collect()] == ["failed"]
+
+
+def test_run_log_states():
+    log = RunLog("r", lambda: datetime(2024, 1, 1, 12, tzinfo=KST))
+    log.start()
+    assert (log.status, log.started_at_kst, log.ended_at_kst) == ("success", "2024-01-01T12:00:00+09:00", "")
+    log.update_requests(4)
+    log.record_block("blocked")
+    log.end("partial", "one")
+    log.end("blocked", "two")
+    assert log.to_row() == ("r", "2024-01-01T12:00:00+09:00", "2024-01-01T12:00:00+09:00", "blocked", 4, "blocked", "one; two")
+    with pytest.raises(ValueError, match="status"):
+        log.end("done")
+
+
+def test_appending_reads_its_own_folders_and_dates(spark, tmp_path):
+    path = str(tmp_path / "history")
+    frame = spark.createDataFrame([(f"2024-01-{d:02d}", m, "c", "u", 1, "n", None, "p", "run", "ok", "") for d in range(1, 9) for m in ("m1", "m2")], ROW)
+    assert store.append_snapshots(spark, path, frame) == 16
+    plan = store._could_match(spark, path, frame.where("market = 'm2' and date_kst < '2024-01-03'"))
+    assert plan.count() == 2
+    scan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(market" in scan and "GreaterThanOrEqual(date_kst" in scan
+
+
+def test_crawl_delays_and_robots_cache():
+    web = Web({"https://s.com/a": Answer(200, "x")})
+    for respect, least in ((True, 60.0), (False, 0.0)):
+        g = guard(web, respect_robots_crawl_delay=respect)
+        g.robots = lambda host: "User-agent: *\nCrawl-delay: 60"
+        web.slept.clear()
+        g.fetch("https://s.com/a")
+        assert (web.slept[0] == 60.0) is respect and web.slept[0] >= least
+        assert g._texts
+        g.clear_robots()
+        assert not g._texts
+
+
+@pytest.mark.parametrize(("answer", "status", "asked"), [(Answer(403, ""), "blocked", 1), (Answer(404, "<p>no ranking</p>"), "failed", 2), (Answer(200, "<body>robot check</body>"), "blocked", 1)])
 def test_collection_stops(spark, tmp_path, answer, status, asked):
     web = Web({"https://s.com/a": answer, "https://s.com/b": answer})
-    out = run_collection(spark, guard(web), str(tmp_path / "h"), str(tmp_path / "r"))
+    out = run_collection(spark, guard(web), *(str(tmp_path / x) for x in "hrf"))
     assert (out["status"], len(web.asked), out["added"]) == (status, asked, 0)
 
 
 def test_collection_keeps_rows_when_the_budget_ends(spark, tmp_path):
     web = Web({"https://s.com/a": Answer(200, page([1], "/a2"))})
-    out = run_collection(spark, guard(web, max_requests_per_day=1), str(tmp_path / "h"), str(tmp_path / "r"))
+    out = run_collection(spark, guard(web, max_requests_per_day=1), *(str(tmp_path / x) for x in "hrf"))
     assert (out["status"], out["added"]) == ("stopped_by_budget", 1)
 
 
