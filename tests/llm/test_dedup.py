@@ -129,9 +129,12 @@ def brute_removed(rows, length=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [1 << 19, 700])
-def test_removed_bytes_are_those_of_brute_force(spark, corpus, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "many"), [(1 << 19, 256), (700, 256), (1 << 19, 3)])
+def test_removed_bytes_are_those_of_brute_force(spark, corpus, monkeypatch, chunk, many):
     monkeypatch.setattr(substring_dups, "CHUNK", chunk)
+    monkeypatch.setattr(substring_dups, "MANY", many)
+    monkeypatch.setattr(substring_dups, "SHARD", 4000)
+    monkeypatch.setattr(substring_dups, "BATCH", 3000)
     found = substring_dups.without_copies(frame(spark, corpus)).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_removed(corpus)
     assert sum(r.n_removed for r in found) > 1000
@@ -153,7 +156,7 @@ def test_levels_merge_geometrically():
 
 
 def test_packed_units_come_back():
-    units, _ = substring_dups.units([5, 3], [b"some text that is long enough to have a unit or two in it, yes", b"y" * 200])
+    units, _ = substring_dups.units([5, 3], [b"some text that is long enough to have a unit or two in it, yes", b"y" * 200], [0, -7])
     assert (substring_dups._unpacked(substring_dups._packed(units)) == units).all()
 
 
