@@ -18,6 +18,7 @@ from ladderline.llm.quality_knn import quality_scores
 from ladderline.llm.quality_rules import MEASURES, judged
 from ladderline.llm.secrets import scan_secrets
 from ladderline.llm.substring_dups import without_copies
+from ladderline.llm.twins import ORACLE_SQL
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir)).drop("found", "secret_score")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_fingerprints, op2_packing, op3_pii, op4_quality_classifier, op5_license_scans, op6_mixing, op7_suffix_dedup, op8_quality_rules, op9_near_dedup, op10_secret_scans)
 }
-ORACLE_SQL: dict[str, str] = {}
