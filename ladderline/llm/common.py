@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +118,21 @@ def in_bitmap(bits: bytes, key: bytes) -> bool:
     """Whether the bit of this key, hashed by CRC-32, is set."""
     at = zlib.crc32(key) & ((1 << BITMAP_BITS) - 1)
     return bits[at >> 3] >> (at & 7) & 1 == 1
+
+
+def apart(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose doc_id may be among the ids, and rows whose doc_id is not (or is null), by a bitmap of fixed size, without a shuffle.
+
+    The first are to be joined with the ids. So rows that no id concerns are not shuffled with their texts.
+    """
+    bits = key_bitmap(ids.where("doc_id is not null"), F.crc32(F.col("doc_id").cast("string")))
+    if bits is None:
+        return rows.where("false"), rows
+    shared = rows.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    @F.pandas_udf("boolean")
+    def among(keys: pd.Series) -> pd.Series:
+        return pd.Series([k is not None and in_bitmap(shared.value, k.encode()) for k in keys], dtype=bool)
+
+    may = among(F.col("doc_id").cast("string"))
+    return rows.where(may), rows.where(~may)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import Tables, arrow_map, id_and_text, in_bitmap, key_bitmap
+from ladderline.llm.common import Tables, apart, arrow_map, id_and_text, in_bitmap, key_bitmap
 from ladderline.llm.kernels import RangeHashes, grouped_arrow, mixed
 
 BANDS, ROWS = 32, 4
@@ -272,4 +272,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = LINK_PERCENT) -> Da
     """The documents, all columns kept, without those that are near copies of one with a smaller doc_id."""
     gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
-    return rows.join(gone, "doc_id", "left_anti").select("row.*")
+    perhaps, others = apart(rows, gone)
+    return others.select("row.*").union(perhaps.join(gone, "doc_id", "left_anti").select("row.*"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from ladderline.llm.common import arrow_map, cut, id_and_text, in_bitmap, key_bitmap
+from ladderline.llm.common import apart, arrow_map, cut, id_and_text, in_bitmap, key_bitmap
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as its context.
@@ -244,12 +244,18 @@ def sanitised_text(text: str, spans: str) -> str:
 def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """The documents, all columns kept, with sanitised texts; a null text stays null, a row without spans stays as it is."""
     spans = find_personal_data(docs, threshold, support).where(F.col("spans") != "").select("doc_id", F.col("text_hash").alias("hash"), "spans").dropDuplicates(["doc_id", "hash"])
+    spans = cut(spans, "pii-spans")
     # md5 of the text tells rows of one doc_id apart; the row itself travels as one column, whatever its names are
-    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.md5(F.col("text").cast("binary")).alias("own_hash"), F.struct(*docs.columns).alias("row"))
-    joined = rows.join(spans, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("hash")), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    perhaps, others = apart(rows, spans)
+    # rows without an id are few by the contract of documents, and are looked up too
+    perhaps, others = perhaps.union(rows.where("doc_id is null")), others.where("doc_id is not null")
+    found = spans.withColumnRenamed("doc_id", "id")
+    joined = perhaps.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.md5(F.col("row.text").cast("binary")) == F.col("hash")), "left")
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([sanitised_text(t, s) if s else t for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    return joined.withColumn("clean", cleaned("row.text", "spans")).select(F.col("row").withField("text", F.col("clean")).alias("row")).select("row.*")
+    clean = joined.withColumn("clean", cleaned("row.text", "spans")).select(F.col("row").withField("text", F.col("clean")).alias("row"))
+    return others.select("row").union(clean).select("row.*")
