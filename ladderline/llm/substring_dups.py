@@ -41,8 +41,9 @@ CHUNK = 1 << 19
 BATCH = 8 << 20
 #: Bytes of text that a shard has the units of, and shards that a task takes one after the other.
 SHARD, SHARDS_A_TASK = 64 << 20, 4
-#: Different units of an anchor in a batch, or open ones in a shard, from which its strings are decided one by one.
-MANY = 256
+#: Different units of an anchor in a batch, or open ones in a shard, from which its strings are decided one by one: what bounds the strings that meet at a
+#: key, about sixteen a unit, so that they fit in a task.
+MANY, MANY_OPEN = 1024, 1 << 16
 _LOW = np.uint64(0xFFFFFFFF)
 #: A unit: anchor key, fingerprint of its bytes (48 bits, beside the anchor's), document, hash of the text (0 where the doc_id is known to have one row), first
 #: string's place, number of strings, and how far the anchor stands behind the first string's place.
@@ -227,7 +228,7 @@ def deal(found: np.ndarray, whole: np.ndarray, shards: int, most: int = MANY) ->
             yield int(s), int(own["d"].min()), kind, own
 
 
-def scanned(batches: list[np.ndarray], spread: bool, most: int = MANY) -> Iterator[pa.RecordBatch]:
+def scanned(batches: list[np.ndarray], spread: bool, most: int = MANY_OPEN) -> Iterator[pa.RecordBatch]:
     """What a shard's batches, smallest documents first, settle and leave open.
 
     Each is looked up before it is added. A later batch may still hold a smaller document, as batches overlap; so those before it are looked up again at the end.
@@ -269,7 +270,7 @@ def settle(docs: DataFrame, tables: Tables) -> DataFrame:
     tasks = max(parts, -(-shards // SHARDS_A_TASK))
     repeated = key_bitmap(rows.groupBy("doc_id").count().where("count > 1"), F.crc32(F.col("doc_id").cast("string")))
     shared = docs.sparkSession.sparkContext.broadcast(bytes(repeated or b""))
-    most, chunk = MANY, CHUNK
+    many, many_open, chunk = MANY, MANY_OPEN, CHUNK
 
     def of_batch(batch: pa.RecordBatch) -> dict[str, object] | None:
         out: dict[str, list] = {c: [] for c in _DEALT.names}
@@ -280,7 +281,7 @@ def settle(docs: DataFrame, tables: Tables) -> DataFrame:
             tags.append(tag if shared.value and in_bitmap(shared.value, str(doc_id).encode()) else 0)
             size += len(texts[-1])
             if size >= BATCH or k == batch.num_rows - 1:
-                for row in deal(*units(ids, texts, tags, chunk), shards, most):
+                for row in deal(*units(ids, texts, tags, chunk), shards, many):
                     for name, value in zip(_DEALT.names, (*row[:3], _packed(row[3])), strict=True):
                         out[name].append(value)
                 ids, texts, tags, size = [], [], [], 0
@@ -292,7 +293,7 @@ def settle(docs: DataFrame, tables: Tables) -> DataFrame:
         for batch in batches:
             for shard, _, kind, blob in zip(*(batch.column(c).to_pylist() for c in _DEALT.names), strict=True):
                 if held and own != (shard, kind):
-                    yield from scanned(held, own[1] == _SPREAD, most)
+                    yield from scanned(held, own[1] == _SPREAD, many_open)
                     held = []
                 own = (shard, kind)
                 if kind == _COVERED:
@@ -301,7 +302,7 @@ def settle(docs: DataFrame, tables: Tables) -> DataFrame:
                 else:
                     held.append(_unpacked(blob))
         if held:
-            yield from scanned(held, own[1] == _SPREAD, most)
+            yield from scanned(held, own[1] == _SPREAD, many_open)
 
     dealt = arrow_map(rows, _DEALT, of_batch).repartition(tasks, "shard", F.col("kind") == _SPREAD).sortWithinPartitions("shard", "kind", "first")
     return tables.cut(dealt.mapInArrow(scan, from_arrow_schema(_FOUND)), "suffix-found")

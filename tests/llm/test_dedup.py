@@ -129,10 +129,11 @@ def brute_removed(rows, length=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("chunk", "many"), [(1 << 19, 256), (700, 256), (1 << 19, 3)])
+@pytest.mark.parametrize(("chunk", "many"), [(1 << 19, 1024), (700, 1024), (1 << 19, 3)])
 def test_removed_bytes_are_those_of_brute_force(spark, corpus, monkeypatch, chunk, many):
     monkeypatch.setattr(substring_dups, "CHUNK", chunk)
     monkeypatch.setattr(substring_dups, "MANY", many)
+    monkeypatch.setattr(substring_dups, "MANY_OPEN", many)
     monkeypatch.setattr(substring_dups, "SHARD", 4000)
     monkeypatch.setattr(substring_dups, "BATCH", 3000)
     found = substring_dups.without_copies(frame(spark, corpus)).collect()
