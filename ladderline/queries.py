@@ -302,11 +302,20 @@ def parse_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy("tier", F.col("page.status").alias("status")).agg(F.count("*").alias("n_pages"), F.sum(F.size("page.items")).alias("n_items"))
 
 
-@query()
+_HREFS = """SELECT page_id, url, CAST(pos AS INTEGER) AS pos, CASE pos % 4 WHEN 0 THEN href WHEN 1 THEN substr(href, 2) WHEN 2 THEN '?from=' || pos ELSE '//other.example.com' || href END AS href
+ FROM (SELECT page_id, url, unnest(hrefs) AS href, unnest(range(0, len(hrefs))) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hrefs FROM pages))"""
+
+
+@query(
+    f"""SELECT page_id, pos, href, CASE pos % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^?#]*/') || href
+ WHEN 2 THEN regexp_extract(url, '^[^?#]*') || href ELSE regexp_extract(url, '^[a-z]+:') || href END AS resolved FROM ({_HREFS})"""
+)
 def page_links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every link of the pages, as seen from its page."""
+    """Every link of the pages, as seen from its page: rooted ones as they are, and made relative, a query alone, and without a scheme."""
     links = _table("pages")(spark, sf_dir).select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
-    return links.select("page_id", "pos", "href", resolve_url("url", "href").alias("resolved"))
+    k = F.col("pos") % 4
+    own = F.when(k == 0, F.col("href")).when(k == 1, F.substring("href", 2, 1 << 20)).when(k == 2, F.concat(F.lit("?from="), F.col("pos").cast("string"))).otherwise(F.concat(F.lit("//other.example.com"), F.col("href")))
+    return links.withColumn("href", own).select("page_id", "pos", "href", resolve_url("url", "href").alias("resolved"))
 
 
 SITE = "https://shop.example.com"
