@@ -5,9 +5,10 @@ depend on the text more than on its language, are hashed into buckets and counte
 on a logarithmic scale, and a check byte. Two digests are compared by the sum of the quartile distances and of the
 length distance, scaled so that equal digests score 1 and the score stays in 0 to 1.
 
-Defined cases: a null text counts as empty; texts shorter than the window are padded with zero
-bytes; equal texts always have equal digests. Repeated rows are kept,
-ordered by doc_id (descending, null last), then by text hash and text. Extra columns are ignored.
+Defined cases: a null text counts as empty; texts shorter than the window are padded with zero bytes; a long text is one text like any other, and no more than
+two texts are held at a time beside an Arrow batch; equal texts always have equal digests. Rows are ordered by doc_id, descending; rows that repeat one, by text
+hash and text; rows without one come last, in an order that their text hashes fix. A single row is followed by itself; an empty table gives an
+empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,8 +83,8 @@ def edited_text(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Every text's digest, that of its edited text, and the likeness to that and to the next document (descending doc_id).
 
-    Documents go to contiguous ranges of doc_id, whose bounds are quantiles of doc_id (as many as there are partitions). The
-    first document of a range also visits the range before it, so that every document meets the next one with its text
+    Documents go to contiguous ranges of doc_id, whose bounds are quantiles of doc_id, one range a partition. Spark sorts each range, and it is read as a stream
+    that holds one text over. The first document of a range also visits the end of the range before it, so that every document meets the next one with its text
     shuffled once. Rows without doc_id come last, in ranges by hash.
     """
     spark = docs.sparkSession
@@ -113,21 +115,25 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         keys = zip((None if pd.isna(i) else ~int(i) for i in ids), (int(h) for h in hashes), strict=True)
         return pd.Series([[r, -1 - visits[k]] if k in visits else [r] for r, k in zip(own, keys, strict=True)])
 
-    dealt = rows.withColumn("at", F.explode(ranges("doc_id", "hash"))).withColumn("range", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
-
-    def of_range(table: pa.Table) -> pa.Table:
-        found = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "hash", "text", "at")), strict=True))
-        order = lambda row: (row[0] is None, -(row[0] or 0), row[1], row[2])
-        own = sorted((r for r in found if r[3] >= 0), key=order)
-        visitor = min((r for r in found if r[3] < 0), key=order)
-        texts = [r[2] for r in [*own, visitor]]
-        digests = [fingerprint(t) for t in texts]
-        out = []
-        for k, row in enumerate(own):
-            edited = edited_text(texts[k], texts[k + 1])
-            digest = fingerprint(edited)
-            sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((row[0], len(texts[k]), sha, digests[k], digest, likeness(digests[k], digest), likeness(digests[k], digests[k + 1])))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT)
-
-    return dealt.select("range", "doc_id", "hash", "text", "at").groupBy("range").applyInArrow(of_range, from_arrow_schema(RESULT))
+    dealt = rows.withColumn("at", F.explode(ranges("doc_id", "hash"))).withColumn("visits", F.col("at") < 0)
+    dealt = dealt.withColumn("range", F.when(F.col("visits"), -1 - F.col("at")).otherwise(F.col("at")).cast("int"))
+    # visitors stand last; only the first of them, in the order of rows, is met
+    placed = dealt.repartitionById(last + 1 + parts, F.col("range")).sortWithinPartitions("range", "visits", F.col("doc_id").desc_nulls_last(), "hash", "text")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            out = []
+            for doc_id, text, visits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "visits")), strict=True):
+                # a visitor ends its range, so that the row before it is of the same one
+                digest = fingerprint(text) if held is not None or not visits else ""
+                if held is not None:
+                    edited = edited_text(held[1], text)
+                    of_edited = fingerprint(edited)
+                    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+                    out.append((held[0], len(held[1]), sha, held[2], of_edited, likeness(held[2], of_edited), likeness(held[2], digest)))
+                held = None if visits else (doc_id, text, digest)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RESULT, strict=True)], schema=RESULT)
+
+    return placed.select("doc_id", "text", "visits").mapInArrow(stream, from_arrow_schema(RESULT))

@@ -1,7 +1,9 @@
 """Fingerprints, near-dedup and substring dedup against brute force."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ladderline.llm import near_dups, substring_dups
-from ladderline.llm.fingerprints import compare_with_next, edited_text, fingerprint, likeness
+from ladderline.llm.fingerprints import _HASH, _TRIPLETS, compare_with_next, edited_text, fingerprint, likeness
 from ladderline.llm.kernels import RangeHashes, grouped_arrow, sliding_min
 from tests.llm.conftest import SCHEMA, frame
 
@@ -201,6 +203,29 @@ def test_fingerprints_meet_the_next_document(spark, corpus, parts):
         assert r.near_next == likeness(fingerprint(text), fingerprint(following)) and 0 <= r.near_edited <= 1
 
 
+def naive_codes(text):
+    """Quartile codes and length, byte by byte."""
+    data = text.encode()
+    data += bytes(max(0, 14 - len(data)) and 13)
+    counts = [0] * 256
+    for table, (i, j) in zip(_HASH.tolist(), _TRIPLETS, strict=True):
+        for k in range(len(data) - j):
+            counts[table[0][data[k]] ^ table[1][data[k + i]] ^ table[2][data[k + j]]] += 1
+    ranked = sorted(counts)
+    return [sum(c > ranked[q] for q in (64, 128, 192)) for c in counts], min(255, round(4 * math.log2(1 + len(text.encode()))))
+
+
+def test_digests_and_likeness_are_those_of_the_naive_form(corpus):
+    texts = [t for _, t in corpus if t is not None][:70] + ["", "a", "é" * 40]
+    for text, other in zip(texts, texts[1:] + texts[:1], strict=True):
+        (qa, la), (qb, lb) = naive_codes(text), naive_codes(other)
+        digest = bytes.fromhex(fingerprint(text))
+        assert digest[0] == la and [digest[2 + k // 4] >> 2 * (k % 4) & 3 for k in range(256)] == qa
+        steps = [abs(x - y) for x, y in zip(qa, qb, strict=True)]
+        score = sum(steps) + 2 * sum(s == 3 for s in steps) + 2 * abs(la - lb) + (zlib.crc32(text.encode()) & 255 != zlib.crc32(other.encode()) & 255)
+        assert likeness(fingerprint(text), fingerprint(other)) == pytest.approx(1 - score / (5 * 256 + 2 * 255 + 1))
+
+
 def test_fingerprints_of_one_or_repeated_rows(spark):
     one = compare_with_next(frame(spark, [(1, "abcdef")])).collect()
     assert [(r.n_chars, r.edited_sha256) for r in one] == [(6, hashlib.sha256(b"abcdab").hexdigest())]
