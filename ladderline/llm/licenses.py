@@ -1,15 +1,19 @@
 """License scans: templates with optional and replaceable regions, compiled into token automata.
 
-A template is a sentence with mark-up: [[ ... ]] is optional, {{n}} stands for up to n words of any kind. It becomes an automaton
-over words; a text matches where its words lead from the automaton's start to its end, so that all mandatory wording has to
-be there exactly and in order. Beside it, phrases (base labels) are looked for as runs of consecutive words.
+A template is the wording of a licence, of its notice or of its header, with mark-up: [[ ... ]] is optional, {{n}} stands for up to n words of any kind. It
+becomes an automaton over words; a text matches where its words lead from the automaton's start to its end, so that all mandatory
+wording has to be there exactly and in order, whatever the punctuation, line breaks and case. The templates are a file beside this module; further ones can be
+compiled by the same function. A text that is nothing but the licence is told from one that contains it. Beside it, phrases (base labels) are looked for as runs
+of consecutive words.
 
 Defined cases: a null or empty text has no words and no labels; first_word and last_word are null without a phrase; repeated rows
-give repeated results; extra columns are ignored.
+give repeated results; a long text is read once for each template whose mandatory words it has, with as many states as the template has words; an empty table
+gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 
 import numpy as np
@@ -20,23 +24,22 @@ from ladderline.llm.common import text_map
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates of licence notices and short licences, in this module's mark-up.
-TEMPLATES = {
-    "notice-gpl": "licensed under the [[terms of the]] gnu general public license [[version {{3}}]]",
-    "notice-apache-2.0": "licensed under the apache license version 2 0",
-    "notice-mit": "[[released]] [[licensed]] [[available]] under the mit license",
-    "notice-cc-by": "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0 [[international]]",
-    "notice-cc-by-nc": "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[4 0]] [[international]]",
-    "notice-cc-by-sa": "licensed under [[a]] [[the]] [[creative commons]] cc by sa [[4 0]] [[international]]",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of {{6}} and associated documentation files {{4}} to deal in the software without restriction",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-}
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _PHRASES = [(re.compile(_GAP.join(map(str.encode, phrase.split())) + rb"(?![0-9a-z\x80-\xff])"), label) for phrase, label in PHRASES.items()]
 _IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
-_MARK = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|[^\s\[\]{}]+")
+_MARK = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def parsed_templates(text: str) -> dict[str, str]:
+    """Templates by label from the text of a file: "== label" before each, lines that begin with # left out."""
+    out: dict[str, list[str]] = {}
+    for line in text.splitlines():
+        if line.startswith("== "):
+            lines = out[line[3:].strip()] = []
+        elif out and not line.startswith("#"):
+            lines.append(line)
+    return {label: " ".join(lines) for label, lines in out.items()}
 
 
 class Automaton:
@@ -52,15 +55,17 @@ class Automaton:
             if m[0] == "[[":
                 opened.append(len(self.word))
             elif m[0] == "]]":
-                self.skips[opened.pop()].add(len(self.word))
+                if (begun := opened.pop()) < len(self.word):
+                    self.skips[begun].add(len(self.word))
             elif m[1]:
                 for _ in range(int(m[1])):
                     self._add(None, True)
                     self.skips[-1].add(len(self.word))
             else:
-                self._add(m[0].encode(), False)
+                word = m[0].encode().lower()  # bytes.lower() changes A-Z alone
+                self._add(word, False)
                 if not opened:
-                    self.mandatory.append(m[0].encode())
+                    self.mandatory.append(word)
         self.end = len(self.word)
         #: one mandatory word that has to be in the text at all: the longest
         self.anchor = max(self.mandatory, key=len)
@@ -79,18 +84,28 @@ class Automaton:
                     todo.append(s)
         return states
 
-    def accepts(self, words: list[bytes]) -> bool:
-        """Whether the words of the template stand somewhere in the text; one pass, as many states as the template has words."""
-        states: set[int] = set()
+    def accepts(self, words: list[bytes], whole: bool = False) -> bool:
+        """Whether the words of the template stand somewhere in the text, or, with whole, are all of it; one pass, as many states as the template has words."""
+        start = self._closed({0})
+        states: set[int] = set(start)
         for word in words:
-            states |= self._closed({0})
-            states = self._closed({s + 1 for s in states if self.any[s] or self.word[s] == word})
-            if self.end in states:
-                return True
-        return False
+            states = self._closed({s + 1 for s in states if s < self.end and (self.any[s] or self.word[s] == word)})
+            if whole and not states:
+                return False
+            if not whole:
+                if self.end in states:
+                    return True
+                states |= start
+        return whole and self.end in states
+
 
+def compiled(templates: dict[str, str]) -> dict[str, Automaton]:
+    return {label: Automaton(template) for label, template in templates.items()}
 
-_AUTOMATA = {label: Automaton(template) for label, template in TEMPLATES.items()}
+
+#: The templates of the file beside this module, which is read through the loader, so that it may be packed with the code.
+TEMPLATES = parsed_templates(pkgutil.get_data(__package__, "license_templates.txt").decode())
+_AUTOMATA = compiled(TEMPLATES)
 
 
 def word_count(data: bytes) -> int:
@@ -98,6 +113,12 @@ def word_count(data: bytes) -> int:
     return int(inside[:1].sum() + np.count_nonzero(inside[1:] & ~inside[:-1]))
 
 
+def whole_licenses(text: str) -> set[str]:
+    """The templates that the text is, from its first word to its last."""
+    words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
+    return {label for label, automaton in _AUTOMATA.items() if automaton.accepts(words, whole=True)}
+
+
 def scan_text(text: str) -> tuple:
     data = text.encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z alone
     places = [(m.start(), label) for pattern, label in _PHRASES for m in pattern.finditer(data) if not m.start() or not _IS_WORD[data[m.start() - 1]]]

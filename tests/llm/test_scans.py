@@ -186,11 +186,86 @@ def test_template_automata(template, text, hit):
 
 def test_license_notices():
     label = lambda t: licenses.scan_text(t)[5].split(",")
-    assert "notice-gpl" in label("This work is licensed under the GNU General Public License, version 3.")
-    assert "notice-cc-by-nc" in label("Licensed under CC BY-NC 4.0.") and "notice-cc-by" not in label("Licensed under CC BY-NC 4.0.")
+    assert "gpl-notice" in label("This work is licensed under the GNU General Public License, version 3.")
+    assert "cc-by-nc-notice" in label("Licensed under CC BY-NC 4.0.") and "cc-by-4.0-notice" not in label("Licensed under CC BY-NC 4.0.")
     assert label("We met a public license of the general") == [""]
 
 
+def filled(template, rng, options):
+    """The template's wording with replaceable regions filled, and optional ones kept or left out."""
+    words, kept = [], [True]
+    for m in licenses._MARK.finditer(template):
+        if m[0] == "[[":
+            kept.append(kept[-1] and (rng.random() < 0.5 if options is None else options))
+        elif m[0] == "]]":
+            kept.pop()
+        elif kept[-1]:
+            words += [rng.choice(["acme", "2024", "jane", "software"]) for _ in range(rng.randint(0, int(m[1])))] if m[1] else [m[0]]
+    return words
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_whole_licences_and_near_misses(label):
+    rng = random.Random(label)
+    automaton = licenses._AUTOMATA[label]
+    for options in (True, False, None, None):
+        words = filled(licenses.TEMPLATES[label], rng, options)
+        text = "".join(w + rng.choice([" ", ", ", "\n   ", " - "]) for w in words)
+        assert label in licenses.whole_licenses(text) and label in licenses.scan_text("before, " + text + " after")[5].split(",")
+        plain = [w.lower().encode() for w in words]
+        assert automaton.accepts(plain, whole=True) and not automaton.accepts([*plain, *[b"zzz"] * 60], whole=True)
+    # any mandatory word left out or changed: no match, anywhere in the text
+    bare = [w.lower().encode() for w in filled(licenses.TEMPLATES[label], rng, False) if w not in ("acme", "2024", "jane")]
+    for k in rng.sample(range(len(bare)), min(12, len(bare))):
+        missing = bare[:k] + [b"\xc3\xa9" * 3] * 60 + bare[k + 1 :]
+        assert brute_accepts(licenses.TEMPLATES[label], missing) == automaton.accepts(missing), bare[k]
+
+
+def brute_accepts(template, words):
+    """Whether the template's words stand somewhere, by search over all choices of its regions."""
+    marks = [(m[0], m[1]) for m in licenses._MARK.finditer(template)]
+    close, opened = {}, []
+    for k, (mark, _) in enumerate(marks):
+        if mark == "[[":
+            opened.append(k)
+        elif mark == "]]":
+            close[opened.pop()] = k
+    seen, todo = set(), [(0, at) for at in range(len(words) + 1)]
+    while todo:
+        k, at = state = todo.pop()
+        if state in seen:
+            continue
+        seen.add(state)
+        if k == len(marks):
+            return True
+        mark, most = marks[k]
+        if mark == "[[":
+            todo += [(k + 1, at), (close[k] + 1, at)]
+        elif mark == "]]":
+            todo.append((k + 1, at))
+        elif most:
+            todo += [(k + 1, at + n) for n in range(min(int(most), len(words) - at) + 1)]
+        elif at < len(words) and words[at] == mark.lower().encode():
+            todo.append((k + 1, at + 1))
+    return False
+
+
+def test_labels_over_a_corpus(spark, corpus):
+    """Phrases and templates over whole texts, some with licences in them, against the search."""
+    rng = random.Random(6)
+    rows = [(d, t) for d, t in corpus if t is not None and len(t) < 3000][:60]
+    for k, (label, template) in enumerate(sorted(licenses.TEMPLATES.items())):
+        rows.append((1000 + k, rows[k][1] + "\n" + " ".join(filled(template, rng, None)) + "\n" + rows[k + 1][1]))
+        rows.append((2000 + k, " ".join(filled(template, rng, None)[:-1])))
+    found = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    for d, r in found.items():
+        words = [w.encode() for w in brute_words(texts[d])]
+        base = {label for phrase, label in licenses.PHRASES.items() if any(words[k : k + len(phrase.split())] == phrase.encode().split() for k in range(len(words)))}
+        expected = base | {label for label, template in licenses.TEMPLATES.items() if brute_accepts(template, words)}
+        assert r.labels == ",".join(sorted(expected)) and (r.score == 1.0) == bool(expected - base)
+
+
 @pytest.mark.parametrize("operator", [pii.find_personal_data, pii.sanitise, secrets.scan_secrets, licenses.scan_licenses])
 def test_odd_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).collect() == []
