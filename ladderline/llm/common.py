@@ -7,7 +7,6 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,12 +75,12 @@ def where_computed(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.withColumns({"_keep": condition, "_number": F.monotonically_increasing_id()}).where(F.col("_keep") & (F.col("_number") >= 0)).drop("_keep", "_number")
 
 
-def arrow_map(df: DataFrame, schema: pa.Schema, of_batch: Callable[[pa.RecordBatch], dict[str, object] | None]) -> DataFrame:
-    """mapInArrow with a function from a batch to columns by name."""
+def arrow_map(df: DataFrame, schema: pa.Schema, of_batch: Callable[[pa.RecordBatch], dict[str, object] | None], rows: int = 512) -> DataFrame:
+    """mapInArrow with a function from a batch, of so many rows at most, to columns by name. Small batches keep a worker's memory low."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (columns := of_batch(batch)) is not None:
+        for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
+            if (columns := of_batch(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     return df.mapInArrow(run, from_arrow_schema(schema))
@@ -121,18 +120,17 @@ def in_bitmap(bits: bytes, key: bytes) -> bool:
 
 
 def apart(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose doc_id may be among the ids, and rows whose doc_id is not (or is null), by a bitmap of fixed size, without a shuffle.
+    """Rows whose doc_id may be among the ids, and rows whose doc_id is not (or is null), without a shuffle of the rows.
 
-    The first are to be joined with the ids. So rows that no id concerns are not shuffled with their texts.
+    The first are to be joined with the ids. So texts that no id concerns are not shuffled. What is broadcast is a bitmap of fixed size, in chunks of 4 kB,
+    one of which each row meets.
     """
-    bits = key_bitmap(ids.where("doc_id is not null"), F.crc32(F.col("doc_id").cast("string")))
-    if bits is None:
-        return rows.where("false"), rows
-    shared = rows.sparkSession.sparkContext.broadcast(bytes(bits))
-
-    @F.pandas_udf("boolean")
-    def among(keys: pd.Series) -> pd.Series:
-        return pd.Series([k is not None and in_bitmap(shared.value, k.encode()) for k in keys], dtype=bool)
-
-    may = among(F.col("doc_id").cast("string"))
-    return rows.where(may), rows.where(~may)
+    position = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << BITMAP_BITS)) + 1
+    chunk, bit = F.call_function("bitmap_bucket_number", F.col("_at")), F.call_function("bitmap_bit_position", F.col("_at"))
+    known = ids.where("doc_id is not null").select(position.alias("_at"))
+    bits = known.groupBy(chunk.alias("_chunk")).agg(F.call_function("bitmap_construct_agg", bit).alias("_bits"))
+    placed = rows.withColumn("_at", F.when(F.col("doc_id").isNotNull(), position)).withColumn("_chunk", chunk)
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    marked = placed.join(F.broadcast(bits), "_chunk", "left").withColumn("_may", may)
+    return tuple(marked.where(c).drop("_at", "_chunk", "_bits", "_may") for c in (F.col("_may"), ~F.col("_may")))

@@ -34,7 +34,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 class WordIds(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of a piece of text that is tokenised by itself; of bounded size."""
 
-    MOST, LONGEST = 400_000, 64
+    MOST, LONGEST = 100_000, 64
 
     def __init__(self, vocabulary: str) -> None:
         import public_tokenizers

@@ -304,7 +304,7 @@ def settle(docs: DataFrame, tables: Tables) -> DataFrame:
         if held:
             yield from scanned(held, own[1] == _SPREAD, many_open)
 
-    dealt = arrow_map(rows, _DEALT, of_batch).repartition(tasks, "shard", F.col("kind") == _SPREAD).sortWithinPartitions("shard", "kind", "first")
+    dealt = arrow_map(rows, _DEALT, of_batch, 1 << 20).repartition(tasks, "shard", F.col("kind") == _SPREAD).sortWithinPartitions("shard", "kind", "first")
     return tables.cut(dealt.mapInArrow(scan, from_arrow_schema(_FOUND)), "suffix-found")
 
 
