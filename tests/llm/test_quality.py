@@ -143,6 +143,36 @@ def test_classifier_on_odd_tables(spark):
     assert quality_knn.quality_scores(spark.createDataFrame([], SCHEMA), labels).collect() == []
 
 
+def naive_features(text):
+    """Distinct words and bins of a text."""
+    text = text or ""
+    words = [w for w in re.split(r"[\s.,;:!?|]+", text.lower()) if w]
+    size = max(len(text), 1)
+    shares = {"symbols": len(re.findall(r"[#*$%&|<>]", text)) / size, "capitals": len(re.findall("[A-Z]", text)) / size, "variety": len(set(words)) / max(len(words), 1)}
+    return set(words) | {f"# {name} {sum(shares[name] >= b for b in bounds)}" for name, bounds in mixing._BINS.items()}
+
+
+def test_posteriors_are_those_of_plain_naive_bayes(spark):
+    docs, labels = labelled(spark)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    domain = {r.doc_id: "toxic" if r.toxic else "good" if r.quality else "poor" for r in labels.collect()}
+    n = Counter(domain.values())
+    features = {d: naive_features(t) for d, t in texts.items()}
+    model = mixing.fit_domains(docs, labels)
+    words = [f for f in model["odds"] if f not in mixing._BIN_NAMES]
+    assert words and all(f in model["odds"] for f in set().union(*features.values()) if f in mixing._BIN_NAMES)
+    share = {f: {d: (sum(f in features[k] for k in domain if domain[k] == d) + 0.5) / (n[d] + 1) for d in mixing.DOMAINS} for f in model["odds"]}
+    found = {r.doc_id: r for r in mixing.with_posteriors(docs, model).collect()}
+    for k, own in features.items():
+        score = []
+        for d in mixing.DOMAINS:
+            total = math.log((n[d] + 1) / (len(domain) + len(mixing.DOMAINS)))
+            total += sum(math.log(share[f][d] if f in own else 1 - share[f][d]) for f in words)
+            total += sum(math.log(share[f][d]) for f in own if f in mixing._BIN_NAMES)
+            score.append(math.exp(total))
+        assert list(found[k]._posterior) == pytest.approx([x / sum(score) for x in score], abs=1e-9)
+
+
 def test_words_with_a_hash_do_not_displace_bins(spark):
     docs, labels = labelled(spark, 60)
     bins = lambda model: {w: v for w, v in model["odds"].items() if w.startswith("#") and not w.startswith("#tag")}

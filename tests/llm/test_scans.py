@@ -1,9 +1,11 @@
 """PII, licence and secret scans against plain restatements of their rules."""
 
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,12 +63,54 @@ def test_terms_that_disclose_an_entity(spark):
     scanned = pii.arrow_map(pii.id_and_text(docs), pii._SCAN, pii._scan)
     found = {(r.entity, r.term): r.disclosure for r in pii.disclosing_pairs(docs, scanned).collect()}
     assert set(found) == {("email:zebedee@mail.example.com", "zebedee")}
-    import math
-
     total, with_entity, with_term = 45, 8, 9
     assert found["email:zebedee@mail.example.com", "zebedee"] == pytest.approx(math.log(total * 8 / (with_entity * with_term)) / math.log(total / with_entity))
 
 
+def brute_disclosure(rows, threshold=0.8, support=3):
+    """Spans of every row, by counting all terms of all texts."""
+    word = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
+    texts = [t or "" for _, t in rows]
+    bases = [brute_pii(t) for t in texts]
+    free = lambda m, base: not any(s < m.end() and m.start() < e for _, s, e in base)
+    together, with_entity, df = {}, Counter(), Counter()
+    for k, (text, base) in enumerate(zip(texts, bases, strict=True)):
+        terms = list(word.finditer(text))
+        df.update({m[0].lower() for m in terms})
+        with_entity.update({f"{kind}:{text[s:e].lower()}" for kind, s, e in base})
+        for kind, s, e in base:
+            near = [m for m in [*[m for m in terms if m.end() <= s][-6:], *[m for m in terms if m.start() >= e][:6]] if free(m, base)]
+            for m in near:
+                together.setdefault((f"{kind}:{text[s:e].lower()}", m[0].lower()), {}).setdefault(k, set()).add(" ".join(x[0].lower() for x in near))
+    # a document counts once for a pair, with the context of the smallest hash
+    least = lambda contexts: min(hashlib.md5(c.encode()).hexdigest() for c in contexts)
+    hits = set()
+    for (entity, term), by in together.items():
+        rarity = math.log(len(rows) / with_entity[entity])
+        if len({least(c) for c in by.values()}) >= support and rarity > 0 and 1 + math.log(min(1, len(by) / df[term])) / rarity >= threshold:
+            hits.add(term)
+    return [sorted([*base, *(("term", *m.span()) for m in word.finditer(t) if m[0].lower() in hits and free(m, base))], key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2])) for t, base in zip(texts, bases, strict=True)], hits
+
+
+def test_disclosure_over_a_corpus(spark):
+    rng = random.Random(11)
+    common = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    names = {"Anna-Lee": "anna@mail.example.com", "Borislav": "10.1.2.3", "Cleo": "+1 555 0100 123", "O'Dare": "4111 1111 1111 1111"}
+    rows = []
+    for k in range(240):
+        words = [rng.choice(common) for _ in range(rng.randint(5, 60))]
+        for name, entity in names.items():
+            if rng.random() < 0.06:
+                at = rng.randrange(len(words))
+                words[at:at] = [name, rng.choice(common), entity] if rng.random() < 0.8 else [name] if rng.random() < 0.5 else [entity]
+        rows.append((k, rng.choice([" ", "  ", "\n"]).join(words)))
+    expected, hits = brute_disclosure(rows)
+    assert hits
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    for (d, _), spans in zip(rows, expected, strict=True):
+        assert found[d] == ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
 def test_personal_data_rows(spark):
     rows = disclosing_rows()
     found = pii.find_personal_data(frame(spark, rows)).collect()
@@ -139,6 +183,44 @@ def test_joined_literals():
     assert min(scores["tR4kq9Zx81"], scores["LmWv02qqX7"]) >= secrets.THRESHOLD
 
 
+def brute_literals(lines):
+    """Scores of the literals of a program given as (name, parts), a part being a literal or a name, by writing every value out."""
+    text, scores, known = "", {}, {}
+    random_of = lambda v: 0.0 if len(v) < 8 or " " in v else min(1.0, -sum(n / len(v) * math.log2(n / len(v)) for n in Counter(v).values()) / 3.5)
+    for name, parts in lines:
+        text += f"{name} = "
+        value, spans = "", {}
+        for k, (is_name, part) in enumerate(parts):
+            text += " + " * (k > 0)
+            if is_name and part in known:
+                value, spans = value + known[part][0], spans | known[part][1]
+            else:
+                at = len(text) + (not is_name)
+                value, spans = value + part, spans | {(at, at + len(part)): part}
+            text += part if is_name else f'"{part}"'
+        text += "\n"
+        known[name] = value, spans
+        for span, literal in spans.items():
+            scores[span] = max(scores.get(span, 0.0), secrets.name_weight(name) * max(random_of(value), random_of(literal)))
+    return text, scores
+
+
+def test_literals_of_random_programs(spark):
+    rng = random.Random(7)
+    names, rows, expected = ["a", "b", "seed", "dbPassword", "api_key", "label", "auth_x"], [], []
+    for k in range(60):
+        literal = lambda: "".join(rng.choice("abcXYZ0189_/ " if rng.random() < 0.1 else "abcdefXYZ0123456789") for _ in range(rng.randint(1, 14)))
+        lines = [(rng.choice(names), [(True, rng.choice(names)) if rng.random() < 0.4 else (False, literal()) for _ in range(rng.randint(1, 3))]) for _ in range(rng.randint(1, 9))]
+        text, scores = brute_literals(lines)
+        assert secrets.scored_literals(text) == pytest.approx(scores), text
+        rows.append((k, text))
+        expected.append(sorted(f"literal:{s}:{e}" for (s, e), v in scores.items() if v >= secrets.THRESHOLD))
+    found = {r.doc_id: r.spans for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    for (d, _), spans in zip(rows, expected, strict=True):
+        assert sorted(x for x in found[d].split(",") if x.startswith("literal")) == spans
+    assert any(expected)
+
+
 def test_short_pieces_of_a_secret_are_found():
     text = 'a = "tR4k"\nb = "q9Zx8" + "1Lm"\nsecret = a + b + "Wv02"\nlabel = "abcd"'
     scores = {text[s:e]: v for (s, e), v in secrets.scored_literals(text).items()}
