@@ -5,8 +5,9 @@ document frequency. A truncated singular value decomposition of the labelled sam
 are broadcast (their number is bounded), and every document's exact cosines with all of them are computed in blocks; the
 labels of the nearest vote with weights that rise with similarity.
 
-Defined cases: a null or empty text has the structure terms alone; without usable labels every score is 0.5; labels that repeat a
-doc_id count once (the smallest); repeated rows get equal scores; an empty table gives an empty table; extra columns are ignored.
+Defined cases: a null or empty text has the structure terms alone; a long text is one vector like any other; without usable labels every score is 0.5; labels
+that repeat a doc_id count once (the smallest); neighbours tied with the last one vote too; repeated rows get equal scores; an empty table gives an empty
+table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,10 +79,12 @@ class LatentVote:
             return np.full(len(vectors), self.prior)
         near = self.latent(vectors) @ self.known.T
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        votes = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** SHARPNESS
-        total = votes.sum(1)
-        return np.where(total > 1e-12, (votes * self.labels[at]).sum(1) / np.maximum(total, 1e-12), self.prior).clip(0, 1)
+        # all that are as near as the last neighbour vote, so that ties do not depend on an order
+        last = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        row, at = np.nonzero(near >= last)
+        votes = np.maximum(near[row, at], 0).astype(np.float64) ** SHARPNESS
+        total = np.bincount(row, votes, len(vectors))
+        return np.where(total > 1e-12, np.bincount(row, votes * self.labels[at], len(vectors)) / np.maximum(total, 1e-12), self.prior).clip(0, 1)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -135,6 +135,14 @@ def test_votes_are_exact_cosines():
         assert score == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=1e-4)
 
 
+def test_tied_neighbours_all_vote():
+    vectors = np.ones((60, quality_knn.WIDTH), np.float32)
+    vectors[40:, : quality_knn.TERMS] = np.random.default_rng(2).random((20, quality_knn.TERMS)) < 0.1
+    labels = np.array([1] * 30 + [0] * 30)
+    for order in (np.arange(60), np.arange(60)[::-1]):
+        assert quality_knn.LatentVote(vectors[order], labels[order]).scores(vectors[:1])[0] == pytest.approx(0.75, abs=1e-3)
+
+
 def test_classifier_on_odd_tables(spark):
     docs, labels = labelled(spark, 60)
     odd = docs.unionByName(frame(spark, [(900, None), (901, ""), (901, ""), (None, "x"), (902, "y" * 200_000)])).withColumn("score", F.lit("mine"))
