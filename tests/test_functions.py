@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ladderline.functions import text
 from ladderline.functions.html import parse_html
-from ladderline.functions.ranking_pages import ParseRanking, parse_page, register
+from ladderline.functions.ranking_pages import parse_page, register, table_function
 from ladderline.functions.urls import crawl_delay_of, is_allowed, joined_url
 
 
@@ -104,4 +104,4 @@ def test_table_function(spark):
     spark.createDataFrame([(card(1) + card(2),), ("",)], "html string").createOrReplaceTempView("cards")
     rows = spark.sql("SELECT p.status, p.rank FROM cards, LATERAL parse_ranking(html, 'https://x.com', 'amazon_us', 10) p").collect()
     assert sorted((r.status, r.rank) for r in rows if r.rank) == [("ok", 1), ("ok", 2)] and len(rows) == 3
-    assert ParseRanking is not None
+    assert table_function() is not None
