@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from ladderline.llm import near_dups, quality_rules, substring_dups
+from ladderline.llm import licenses, near_dups, quality_rules, substring_dups
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -90,4 +90,25 @@ def quality_rules_sql() -> str:
     return re.sub(r"median_of\(([^()]*(?:\[[^\]]*\])?[^()]*)\)", r"quantile_disc(\1, 0.5)", sql)
 
 
-ORACLE_SQL = {"op7_suffix_dedup": substring_dedup_sql(), "op8_quality_rules": quality_rules_sql(), "op9_near_dedup": near_dedup_sql()}
+def _template_regex(template: str) -> str:
+    """The template as a regular expression over words with one space after each."""
+    out = []
+    for m in licenses._MARK.finditer(template):
+        out.append("(?:" if m[0] == "[[" else ")?" if m[0] == "]]" else f"(?:[^ ]+ ){{0,{m[1]}}}" if m[1] else m[0].lower() + " ")
+    return " " + "".join(out)
+
+
+def license_scans_sql() -> str:
+    phrases = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {_literals(p.split())})) AS place, '{label}' AS label FROM docs WHERE contains(t, '{p.split()[0]}')" for p, label in licenses.PHRASES.items())
+    templates = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM docs WHERE regexp_matches(joined, '{_template_regex(template)}')" for label, template in licenses.TEMPLATES.items())
+    return f"""WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+ docs AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM (SELECT *, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM low)),
+ places AS ({phrases}),
+ base AS (SELECT doc_id, count(*) AS n, min(place) AS low_place, max(place) AS high_place, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+ own AS ({templates}),
+ every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT * FROM own) GROUP BY doc_id)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(low_place AS BIGINT) AS first_word, CAST(high_place AS BIGINT) AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+ CAST(CASE WHEN doc_id IN (SELECT doc_id FROM own) THEN 1 WHEN n > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
+ORACLE_SQL = {"op5_license_scans": license_scans_sql(), "op7_suffix_dedup": substring_dedup_sql(), "op8_quality_rules": quality_rules_sql(), "op9_near_dedup": near_dedup_sql()}
