@@ -8,7 +8,7 @@ the domains' posteriors, so the sum of all steps is one number a domain, and pro
 is kept for each document between iterations. A step is one distributed sum; it is scaled by the curvature over the documents that are not at a
 bound, and halved until the objective falls. Only built-in expressions are used.
 
-Defined cases: a null or empty text has 0 tokens and the posterior of its structure alone; without labels all domains are as likely; labels that
+Defined cases: a null or empty text has 0 tokens and the posterior of its structure alone; a long text is read whole, and its words count once each; without labels all domains are as likely; labels that
 repeat a doc_id count once (the smallest); repeated rows of documents get equal rates; an empty table gives an empty table; other columns are ignored,
 or kept by mix().
 """

@@ -11,7 +11,7 @@ measures are written as a table, from which the references are taken and the doc
 
 Defined cases: a null text has no words and fails the length rule; where no document passes the length and repetition rules there is no
 reference, and the divergence passes; a null lang counts as a language without a word list; a null source, or documents without that column, count as
-one source; repeated rows are judged each by itself; columns beyond text and lang are kept as they are (measure columns are added under their own
+one source; a long text is measured whole, n words in n log n steps; repeated rows are judged each by itself; an empty table gives an empty table; columns beyond text and lang are kept as they are (measure columns are added under their own
 names, replacing clashing ones only in op8's result).
 """
 
