@@ -22,6 +22,12 @@ from ladderline.llm.quality_rules import keep_good
 
 #: Tokens of good to tokens of toxic documents after mixing. Poor ones have gone with the quality rules, and have no target of their own.
 COMPOSITION = {"good": 0.98, "toxic": 0.02}
+#: Bytes of texts that a stage sends to a Python worker at once, on both sides of the pipe; stages set it for the session (Spark's own default is 64 MB).
+ARROW_BATCH = "16m"
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +35,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return sanitise(docs)
 
 
@@ -41,6 +49,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
