@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from ladderline.llm.common import Tables, arrow_map, id_and_text, in_bitmap, key_bitmap
+from ladderline.llm.common import Tables, apart, arrow_map, id_and_text, in_bitmap, key_bitmap
 from ladderline.llm.kernels import RangeHashes, grouped_arrow, mixed, sliding_min
 
 LENGTH, K = 50, 20
@@ -314,9 +314,10 @@ _RUN = pa.schema(list(_FOUND)[:4])
 
 
 def _asked(docs: DataFrame, open_units: DataFrame) -> DataFrame:
-    """Texts with the open units that they have: doc_id, tag, text, asked."""
+    """Texts with the open units that they have: doc_id, tag, text, asked. Texts without any are not shuffled."""
     asked = open_units.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "lo", "hi", "anchor")).alias("asked"))  # bounded by the texts of an id
-    return _with_tag(docs).join(asked, "doc_id").withColumn("asked", F.filter("asked", lambda x: (x["tag"] == 0) | (x["tag"] == F.col("tag"))))
+    perhaps, _ = apart(_with_tag(docs), open_units.select("doc_id").distinct())
+    return perhaps.join(asked, "doc_id").withColumn("asked", F.filter("asked", lambda x: (x["tag"] == 0) | (x["tag"] == F.col("tag"))))
 
 
 def _places(asked: list) -> tuple[np.ndarray, ...]:
@@ -411,8 +412,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """One row a document: its size, what was removed, the digest of what is left, and that itself (kept)."""
     tables = Tables(docs.sparkSession)
     runs = removed_runs(docs, tables).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("runs"))  # bounded by the texts of an id
-    joined = _with_tag(docs).join(runs, "doc_id", "left").select("doc_id", "text", F.filter("runs", lambda x: (x["tag"] == 0) | (x["tag"] == F.col("tag"))).alias("runs"))
-    no_id = id_and_text(docs).where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+    runs = tables.only(runs, "suffix-runs")
+    perhaps, others = apart(_with_tag(docs), runs)
+    joined = perhaps.join(runs, "doc_id", "left").select("doc_id", "text", F.filter("runs", lambda x: (x["tag"] == 0) | (x["tag"] == F.col("tag"))).alias("runs"))
+    none = F.lit(None).cast(runs.schema["runs"].dataType)
+    joined = joined.unionByName(others.select("doc_id", "text", none.alias("runs")))
+    no_id = id_and_text(docs).where(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("runs"))
 
     def of_batch(batch: pa.RecordBatch) -> dict[str, object]:
         out: dict[str, list] = {c: [] for c in _RESULT.names[1:]}
