@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderline.llm.common import documents
+from ladderline.llm.common import documents, shared_dir
 from ladderline.llm.fingerprints import compare_with_next
+from ladderline.llm.infill import digests
 from ladderline.llm.licenses import scan_licenses
 from ladderline.llm.mixing import mixing_rates
 from ladderline.llm.near_dups import near_duplicates
@@ -17,7 +19,9 @@ from ladderline.llm.pii import find_personal_data
 from ladderline.llm.quality_knn import quality_scores
 from ladderline.llm.quality_rules import MEASURES, judged
 from ladderline.llm.secrets import scan_secrets
+from ladderline.llm.source_audit import audit_sources
 from ladderline.llm.substring_dups import without_copies
+from ladderline.llm.token_counts import count_tokens
 from ladderline.llm.twins import ORACLE_SQL
 
 
@@ -65,8 +69,21 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir)).drop("found", "secret_score")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call has a cache of its own, which begins empty, so that every call counts all texts."""
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(documents(spark, sf_dir))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(documents(spark, sf_dir))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_packing, op3_pii, op4_quality_classifier, op5_license_scans, op6_mixing, op7_suffix_dedup, op8_quality_rules, op9_near_dedup, op10_secret_scans)
+    for f in (op1_fingerprints, op2_packing, op3_pii, op4_quality_classifier, op5_license_scans, op6_mixing, op7_suffix_dedup, op8_quality_rules, op9_near_dedup, op10_secret_scans, op11_token_counts, op12_infill, op13_source_audit)
 }

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from ladderline.llm import licenses, near_dups, quality_rules, substring_dups
+from ladderline.llm import infill, licenses, near_dups, quality_rules, source_audit, substring_dups
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -111,4 +111,34 @@ def license_scans_sql() -> str:
  CAST(CASE WHEN doc_id IN (SELECT doc_id FROM own) THEN 1 WHEN n > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""
 
 
-ORACLE_SQL = {"op5_license_scans": license_scans_sql(), "op7_suffix_dedup": substring_dedup_sql(), "op8_quality_rules": quality_rules_sql(), "op9_near_dedup": near_dedup_sql()}
+def infill_sql(seed: int = infill.SEED) -> str:
+    p, s, m = infill.PREFIX, infill.SUFFIX, infill.MIDDLE
+    draw = lambda k: f"CAST('0x' || substr(digest, {1 + 8 * k}, 8) AS UBIGINT)"
+    part = lambda first, last: f"array_to_string(units[{first} + 1:{last}], '')"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+ drawn AS (SELECT *, len(units) AS n, {draw(0)} % (len(units) + 1) AS a, {draw(1)} % (len(units) + 1) AS b,
+  CASE WHEN t = '' OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR {draw(2)} % 100 >= {infill.CUT_PERCENT} THEN 'plain' WHEN {draw(3)} % 100 < {infill.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM docs),
+ parts AS (SELECT *, {part('0', 'least(a, b)')} AS pre, {part('least(a, b)', 'greatest(a, b)')} AS mid, {part('greatest(a, b)', 'n')} AS suf FROM drawn)
+ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}' || mid ELSE '{s}' || suf || '{p}' || pre || '{m}' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
+
+
+def source_audit_sql(min_docs: int = source_audit.MIN_DOCS, top: int = source_audit.TOP_TERMS) -> str:
+    """Every kept term of every group, zero counts included, and all pairs of groups over them."""
+    share = lambda n, total: f"1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + v)"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+ found AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+ kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY ALL HAVING count(DISTINCT row) >= {min_docs}),
+ langs AS (SELECT d.lang, count(kept.term) AS v, coalesce(sum(kept.n), 0) AS total FROM (SELECT DISTINCT lang FROM docs) d LEFT JOIN kept USING (lang) GROUP BY ALL),
+ own AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+ groups AS (SELECT d.lang, d.source, coalesce(sum(own.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) d LEFT JOIN own USING (lang, source) GROUP BY ALL),
+ whole AS (SELECT lang, term, {share('kept.n', 'langs.total')} AS q FROM kept JOIN langs USING (lang)),
+ every AS (SELECT lang, source, term, coalesce(own.n, 0) AS n, {share('coalesce(own.n, 0)', 'groups.total')} AS p FROM groups JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM every a JOIN every b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM every JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {top}"""
+
+
+ORACLE_SQL = {"op5_license_scans": license_scans_sql(), "op7_suffix_dedup": substring_dedup_sql(), "op8_quality_rules": quality_rules_sql(), "op9_near_dedup": near_dedup_sql(), "op12_infill": infill_sql(), "op13_source_audit": source_audit_sql()}
