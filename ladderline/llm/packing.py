@@ -7,7 +7,8 @@ places the rest, many equal sequences at a time. Spark then gives each piece its
 the plan says which sequence and offset a rank has.
 
 Defined cases: a null or empty text is the closing id alone; a text longer than a sequence is cut, its first piece being the shorter one; repeated rows are packed
-each; equal lengths are told apart by doc_id and piece; an empty table gives an empty table; extra columns are ignored.
+each; equal lengths are told apart by doc_id and piece; long runs of white space or of one character take time in proportion to their length (a text with a run of white space
+over LONGEST_RUN goes to the library, as the regular expression of the faster path runs out of stack on such runs); an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from ladderline.llm.common import arrow_map, cut, id_and_text
 
 CAPACITY = 2048
-_TWO_SPACES = re.compile(r"\s\s")
+#: White space that the faster tokeniser is given at once, at most.
+LONGEST_RUN = 10_000
+_SPACES = re.compile(r"\s\s+")
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -47,6 +50,7 @@ class WordIds(dict):
         self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in model["added_tokens"]}
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         ranks = {bytes(byte_of[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in self.added}
+        self.vocabulary, self.library = vocabulary, None
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
@@ -66,9 +70,21 @@ class WordIds(dict):
             return self._of_plain(text)
         return b"".join(self.added.get(part) or self._of_plain(part) for part in self.split.split(text) if part)
 
+    def _by_library(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.vocabulary)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _of_plain(self, text: str) -> bytes:
         """The pattern never joins what stands before a lone space to what follows, so words can be tokenised each by itself."""
-        if _TWO_SPACES.search(text):
+        longest = max((m.end() - m.start() for m in _SPACES.finditer(text)), default=0)
+        if longest > LONGEST_RUN:
+            return self._by_library(text)
+        if longest:
             return self.encode(text)
         first, *rest = text.split(" ")
         return b"".join([self[first], *[self[" " + word] for word in rest]])

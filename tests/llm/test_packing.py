@@ -29,6 +29,20 @@ def test_ids_are_those_of_the_tokenizers_library(corpus):
         assert np.frombuffer(words.of_text(text), "<u4").tolist() == encoded.ids, repr(text)
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t", " \n", "\r\n", "\u3000 "])
+def test_long_white_space(space):
+    run = space * (1_000_000 // len(space))
+    words, whole = packing.word_ids(VOCABULARY), tokenizer()
+    for text in (run, "a" + run + "b", run + "<|endoftext|>" + run + "x", "one two" + run[: packing.LONGEST_RUN] + "b  c", "a" + run[: packing.LONGEST_RUN + 1] + "b"):
+        assert words.of_text(text) == np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_long_white_space_in_a_table(spark):
+    rows = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "plain words"), (4, "x" * 200_000)]
+    found = packing.pack(frame(spark, rows), VOCABULARY).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {d: n for d, n in map(tuple, found)} == {d: len(tokenizer().encode(t, add_special_tokens=False).ids) + 1 for d, t in rows}
+
+
 def test_pieces_and_places(spark, corpus):
     rows = [r for r in corpus if r[0] is not None]
     found = packing.pack(frame(spark, rows), VOCABULARY, 256).collect()
