@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,26 +93,26 @@ def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     bounds = np.unique(np.array(quantiles or [], np.int64))
     last = len(bounds)
 
-    def range_of(ids: pd.Series, hashes: pd.Series) -> np.ndarray:
-        known = ids.notna().to_numpy()
+    def range_of(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
         out = last + 1 + (hashes.to_numpy() % parts)
-        out[known] = last - np.searchsorted(bounds, ids[known].to_numpy(np.int64), "left")
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        out[known] = last - np.searchsorted(bounds, ids.drop_null().to_numpy(), "left")
         return out
 
-    @F.pandas_udf("long")
-    def own_range(ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series(range_of(ids, hashes))
+    # ids travel as Arrow columns: a column with nulls would be rounded to doubles on its way to pandas
+    @F.arrow_udf("long")
+    def own_range(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(range_of(ids, hashes), pa.int64())
 
     key = F.struct(F.bitwise_not("doc_id").alias("down"), "hash")
-    heads = sorted(rows.select(own_range("doc_id", "hash").alias("range"), key.alias("key")).groupBy("range").agg(F.min("key").alias("key")).collect())
+    heads = sorted((head.range, tuple(head.key)) for head in rows.select(own_range("doc_id", "hash").alias("range"), key.alias("key")).groupBy("range").agg(F.min("key").alias("key")).collect())
     #: the first document of each range (one a range) and the range that it visits
-    visits = {tuple(head.key): heads[k - 1].range for k, head in enumerate(heads)}
+    visits = {key: heads[k - 1][0] for k, (_, key) in enumerate(heads)}
 
-    @F.pandas_udf("array<long>")
-    def ranges(ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        own = range_of(ids, hashes)
-        keys = zip((None if pd.isna(i) else ~int(i) for i in ids), (int(h) for h in hashes), strict=True)
-        return pd.Series([[r, -1 - visits[k]] if k in visits else [r] for r, k in zip(own, keys, strict=True)])
+    @F.arrow_udf("array<long>")
+    def ranges(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        keys = zip((None if i is None else ~i for i in ids.to_pylist()), hashes.to_pylist(), strict=True)
+        return pa.array([[r, -1 - visits[k]] if k in visits else [r] for r, k in zip(range_of(ids, hashes).tolist(), keys, strict=True)], pa.list_(pa.int64()))
 
     dealt = rows.withColumn("at", F.explode(ranges("doc_id", "hash"))).withColumn("visits", F.col("at") < 0)
     dealt = dealt.withColumn("range", F.when(F.col("visits"), -1 - F.col("at")).otherwise(F.col("at")).cast("int"))

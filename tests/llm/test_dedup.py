@@ -203,6 +203,25 @@ def test_fingerprints_meet_the_next_document(spark, corpus, parts):
         assert r.near_next == likeness(fingerprint(text), fingerprint(following)) and 0 <= r.near_edited <= 1
 
 
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_fingerprints_of_ids_at_both_ends_and_without_ids(spark, parts):
+    """Ids that doubles cannot tell apart, among rows without one."""
+    ids = [*range(2**60, 2**60 + 300), *range(2**63 - 40, 2**63), *range(-(2**63), -(2**63) + 40), 0, 1, -1, 2**53, 2**53 + 1]
+    rows = [(d, f"text of number {d} " * 3) for d in ids]
+    nulls = [(None, f"{k} is not the number of this text {k * k}") for k in range(20)]
+    found = compare_with_next(frame(spark, [x for pair in zip(rows, nulls * 20, strict=False) for x in pair][: 2 * len(nulls)] + rows[len(nulls) :]), parts).collect()
+    assert len(found) == len(ids) + len(nulls)
+    sha = lambda text, following: hashlib.sha256(edited_text(text, following).encode()).hexdigest()
+    by = {r.doc_id: r.edited_sha256 for r in found if r.doc_id is not None}
+    order = sorted(rows, reverse=True)
+    assert [by[d] for d, _ in order[:-1]] == [sha(t, following) for (_, t), (_, following) in zip(order, order[1:], strict=False)]
+    assert by[order[-1][0]] in {sha(order[-1][1], t) for _, t in nulls}
+    # rows without an id follow one another, and the first document follows the last of them
+    chain = sorted(r.edited_sha256 for r in found if r.doc_id is None)
+    assert sum(sha(t, order[0][1]) in chain for _, t in nulls) == 1
+    assert all(any(x == sha(t, u) for _, t in nulls for u in [order[0][1], *(y for _, y in nulls)]) for x in chain) and len(set(chain)) == len(nulls)
+
+
 def naive_codes(text):
     """Quartile codes and length, byte by byte."""
     data = text.encode()
