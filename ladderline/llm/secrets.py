@@ -9,8 +9,9 @@ What counts as random: the entropy of the characters, of values with at least 8
 a value with spaces counts only under a name that speaks of a phrase (passphrase, seed phrase, mnemonic).
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an empty table; a name set again keeps its
-last value for what follows; every assignment is visited once and values are kept as sums of their characters, so that a long text costs in
-proportion to its length however often a name is joined to itself; extra columns are ignored.
+last value for what follows; every assignment is visited once, and the value of a name is kept as a histogram of its characters with a bin for each ASCII character and 128 bins for all
+others (which share bins, so that the randomness of texts beyond ASCII may come out lower than it is), so that a join costs no more than 256 steps however long and varied a value gets, and a long text costs in
+proportion to its length; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,19 +47,21 @@ def name_weight(name: str) -> float:
 
 
 class Characters:
-    """Characters of a value as weights: enough for its randomness, and joined in bounded time however long the value gets."""
+    """Characters of a value as weights: enough for its randomness, and joined in bounded time however long and varied the value gets."""
 
     MOST = 1e9
+    OTHER_BINS = 128
 
     def __init__(self, text: str = "") -> None:
-        self.size, self.weight = float(len(text)), Counter(text)
+        self.size, self.weight = float(len(text)), Counter(text if text.isascii() else [c if c < "\x80" else 128 + ord(c) % self.OTHER_BINS for c in text])
 
-    def join(self, other: Characters) -> None:
-        self.size += other.size
-        self.weight.update(other.weight)
-        if self.size > self.MOST:
-            self.weight = Counter({c: w * self.MOST / self.size for c, w in self.weight.items()})
-            self.size = self.MOST
+    def joined(self, other: Characters) -> Characters:
+        out = Characters()
+        out.size, out.weight = self.size + other.size, self.weight + other.weight
+        if out.size > self.MOST:
+            out.weight = Counter({c: w * self.MOST / out.size for c, w in out.weight.items()})
+            out.size = self.MOST
+        return out
 
     def randomness(self, phrase: bool) -> float:
         """0 to 1: entropy against 3.5 bits, 0 for fewer than 8 characters, or with spaces where no phrase is meant."""
@@ -86,35 +89,38 @@ def scored_literals(text: str) -> dict[tuple[int, int], float]:
     Every assignment is a node that refers to literals and to earlier nodes. Scores of whole values, and the weights of names, pass down to the
     literals in one sweep from the last node to the first.
     """
-    nodes: list[tuple[Characters, set[int], set[tuple[int, int]]]] = []
+    nodes: list[tuple[set[int], set[tuple[int, int]]]] = []
     own: list[list[float]] = []  # of each node: weight of a name, of a phrase's name, and score of a whole value, that reach it
-    latest: dict[str, int] = {}
+    latest: dict[str, tuple[int, Characters]] = {}
     done = 0
     for op in _OPERATOR.finditer(text):
         if op.start() < done or not (name := _name_before(text, op.start())):
             continue
-        at, value, refers, literals = op.end(), Characters(), set(), set()
+        at, value, refers, literals = op.end(), None, set(), set()
         while m := _OPERAND.match(text, at):
             at = m.end()
+            part = None
             if m[3] is not None and m[3] in latest:
-                refers.add(latest[m[3]])
-                value.join(nodes[latest[m[3]]][0])
+                node, part = latest[m[3]]
+                refers.add(node)
             else:
                 k = next(k for k in (1, 2, 3, 4) if m[k] is not None)
                 if m.end(k) > m.start(k):
                     literals.add(m.span(k))
-                    value.join(Characters(m[k]))
+                    part = Characters(m[k])
+            if part is not None:
+                value = part if value is None else value.joined(part)
             if not m[5]:
                 break
-        if not refers and not literals:
+        if value is None:
             continue
         done = at
-        latest[name] = len(nodes)
-        nodes.append((value, refers, literals))
+        latest[name] = len(nodes), value
+        nodes.append((refers, literals))
         weight, phrase = name_weight(name), bool(_PHRASE.search(name))
-        own.append([weight, weight * phrase, weight * value.randomness(phrase)])
+        own.append([weight, weight * phrase, weight * value.randomness(phrase) if weight else 0.0])
     scores: dict[tuple[int, int], float] = {}
-    for (_, refers, literals), reach in zip(reversed(nodes), reversed(own), strict=True):
+    for (refers, literals), reach in zip(reversed(nodes), reversed(own), strict=True):
         for earlier in refers:
             own[earlier] = [max(x) for x in zip(own[earlier], reach, strict=True)]
         for span in literals:

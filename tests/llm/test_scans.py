@@ -50,6 +50,13 @@ def test_long_texts_of_secrets_take_linear_time(text):
     assert seconds(secrets.scan_text, text) < 2.5
 
 
+@pytest.mark.parametrize("lines", ["x = x + x", "x{k} = x + x", "password = x + password", "token{k} = x + 'é{k}z'"])
+def test_joins_of_values_of_many_characters_take_linear_time(lines):
+    many = "".join(chr(0x4E00 + k) for k in range(20_000))
+    text = f'x = "{many}"\n' + "".join(lines.format(k=k) + "\n" for k in range(10_000))
+    assert seconds(secrets.scan_text, text) < 1.5
+
+
 def disclosing_rows():
     rng = random.Random(4)
     # the name stands beside the address in different contexts, and nowhere else; "here" is everywhere
