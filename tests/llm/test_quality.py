@@ -124,15 +124,71 @@ def test_held_out_labels_are_never_read(spark):
 
 def test_votes_are_exact_cosines():
     rng = np.random.default_rng(1)
-    vectors = rng.random((50, quality_knn.WIDTH)).astype(np.float32) * (rng.random((50, quality_knn.WIDTH)) < 0.05)
+    vectors = rng.random((50, quality_knn.WIDTH)) * (rng.random((50, quality_knn.WIDTH)) < 0.05)
     labels = rng.integers(0, 2, 50)
     model = quality_knn.LatentVote(vectors, labels)
-    new = vectors[:5] + 0.1 * rng.random((5, quality_knn.WIDTH)).astype(np.float32)
-    z, known = model.latent(new), model.latent(vectors)
+    new = vectors[:5] + 0.1 * rng.random((5, quality_knn.WIDTH))
+    z, known = (model.latent(v).astype(int).tolist() for v in (new, vectors))
     for k, score in enumerate(model.scores(new)):
-        near = sorted(((float(z[k] @ v), int(y)) for v, y in zip(known, labels, strict=True)), reverse=True)[: quality_knn.NEIGHBOURS]
-        votes = [(max(s, 0) ** quality_knn.SHARPNESS, y) for s, y in near]
-        assert score == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=1e-4)
+        cosines = [sum(a * b for a, b in zip(z[k], v, strict=True)) / 2**44 for v in known]
+        near = sorted(zip(cosines, labels.tolist(), strict=True), reverse=True)[: quality_knn.NEIGHBOURS]
+        votes = [(max(s, 0) ** 8, y) for s, y in near]
+        assert score == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), rel=1e-12)
+
+
+def plain_terms(text):
+    """Counts of hashed triplets and the bins of the structure facts, one by one."""
+    data = text.encode()
+    h = quality_knn._HASH
+    counts = Counter(int(h[0][a] ^ h[1][b] ^ h[2][c]) for a, b, c in zip(data, data[1:], data[2:], strict=False))
+    logs = {k: math.log1p(n) for k, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in logs.values()))
+    out = [0.0] * quality_knn.WIDTH
+    for k, v in logs.items():
+        out[k] = v / norm
+    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    symbols = sum(chr(c) in "#*$%&|<>@^~_=+/\\{}[]" for c in data)
+    facts = [symbols / max(len(data), 1), sum(65 <= c < 91 for c in data) / max(len(data), 1), len(set(words)) / max(len(words), 1), 1 - len(set(lines)) / max(len(lines), 1), len(words)]
+    at = quality_knn.TERMS
+    for value, (_, bounds) in zip(facts, quality_knn._FACTS, strict=True):
+        out[at + sum(value >= b for b in bounds)] = 1.0
+        at += len(bounds) + 1
+    return out
+
+
+def test_scores_are_those_of_brute_force(spark):
+    """Vectors, axes and votes of a small corpus, from counts one by one, a full decomposition and all cosines."""
+    docs, labels = labelled(spark, 80)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = [r.doc_id for r in labels.where(~quality_knn.held_out(F.col("doc_id"))).collect()]
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    x = np.array([plain_terms(texts[d]) for d in known])
+    weight = np.log((1 + len(x)) / (1 + (np.rint(x * 2**15) > 0).sum(0)))
+    weight[quality_knn.TERMS :] = quality_knn._FACT_WEIGHT / math.sqrt(len(quality_knn._FACTS))
+    axes = np.linalg.svd(x * weight, full_matrices=False)[2][: min(quality_knn.LATENT, len(x))].T
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    z = unit((x * weight) @ axes)
+    for r in quality_knn.quality_scores(docs, labels).collect():
+        cosines = z @ unit((np.array(plain_terms(texts[r.doc_id])) * weight) @ axes)
+        votes = sorted(((max(c, 0.0) ** 8, quality[d]) for c, d in zip(cosines, known, strict=True)), reverse=True)
+        # neighbours that are tied but for rounding may stand on either side of the last place
+        own = votes[: quality_knn.NEIGHBOURS] + [v for v in votes[quality_knn.NEIGHBOURS :] if v[0] > votes[quality_knn.NEIGHBOURS - 1][0] * (1 - 1e-5)]
+        assert r.score == pytest.approx(sum(w * y for w, y in own) / sum(w for w, _ in own), abs=0.02)
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    docs, labels = labelled(spark, 200)
+    model = quality_knn.fit(docs, labels)
+    vectors = np.stack([quality_knn.term_vector(r.text) for r in docs.collect()])
+    at_once = model.scores(vectors)
+    for height in (1, 2, 3, 7, 33, 128):
+        assert np.array_equal(at_once, np.concatenate([model.scores(vectors[k : k + height]) for k in range(0, len(vectors), height)]))
+    repeated = docs.unionByName(docs).unionByName(docs)
+    by: dict[int, set] = {}
+    for parts in (1, 5, 50):
+        for r in quality_knn.quality_scores(repeated.repartition(parts), labels).collect():
+            by.setdefault(r.doc_id, set()).add((parts, r.score))
+    assert all(len(found) == 3 for found in by.values())
 
 
 def test_tied_neighbours_all_vote():
