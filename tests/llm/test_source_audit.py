@@ -75,13 +75,22 @@ def test_counts_handed_on_early_are_added_up(spark, monkeypatch):
 def test_the_sketch_never_underestimates_and_rules_out_most(spark, width):
     rng = random.Random(9)
     rows = [(" ".join(["common", f"pair{'abcdefghij'[k % 10]}", "only" + "".join(rng.choice("abcdefgh") for _ in range(9))]), "en", f"s{k % 4}") for k in range(300)]
-    counted = source_audit.counted_terms(frame(spark, rows)).cache()
-    bits = source_audit.frequency_sketch(counted, 3, width=width)
-    alive = {r.term for r in source_audit.possible_terms(counted, bits, width).collect()}
+    docs = frame(spark, rows)
+    alive = {r.term for r in source_audit.possible_terms(docs, source_audit.frequency_sketch(docs, 3, width=width), width).collect()}
     frequent = {"common", *(f"pair{c}" for c in "abcdefghij")}
     assert frequent <= alive and len(alive) < len(frequent) + (5 if width == 1 << 16 else 60)
 
 
+@pytest.mark.parametrize("piece", [3, 10, 1 << 20])
+def test_hashes_of_a_text_are_those_of_its_terms(monkeypatch, piece):
+    monkeypatch.setattr(source_audit, "HASHED", piece)
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["the", "The", " ", "é", "É", "1", "\x00", "日本", "averyverylongterm"]) for _ in range(rng.randint(0, 12)))
+        own = sorted({t.encode() for t in terms(text)})
+        assert np.array_equal(source_audit.term_hashes(text.encode()), np.sort(source_audit._hashes(own)))
+
+
 def test_shares_are_exact(spark):
     rng = random.Random(1)
     values = [(0, 1, 1), (0, 0, 1), (10**15 - 1, 10**15 - 2, 2)] + [(rng.randrange(t + 1), t, rng.randint(1, 10**9)) for t in (rng.randrange(10 ** rng.randint(1, 14)) for _ in range(500))]
@@ -89,14 +98,6 @@ def test_shares_are_exact(spark):
     assert all(r.p == 1 + 10**9 * (r.n + 1) // (r.total + r.v) for r in found)
 
 
-def test_sketch_places_are_those_of_a_slice(spark):
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de", "", "en"], "term": ["a", "bb", "ccc", "é"]})
-    whole = source_audit.sketch_places(batch, 4, 1 << 20)
-    assert np.array_equal(whole[:, 2:], source_audit.sketch_places(batch.slice(2), 4, 1 << 20)) and whole.max() < 1 << 20
-
-
 @pytest.mark.parametrize("rows", [[], [(None, None, None)], [("a a a", "en", "x")] * 3, [("", "en", "x"), ("", "en", "y")]])
 def test_odd_tables(spark, rows):
     docs = frame(spark, rows) if rows else spark.createDataFrame([], SCHEMA)
