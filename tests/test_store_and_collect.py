@@ -60,9 +60,10 @@ def test_budget_waits_and_stats(spark):
     stats = audits.guard_stats(log, ["client"], 3).first()
     assert (stats.total_requests, stats.successful_requests, stats.longest_failures, stats.exhausted_days) == (4, 3, 1, 1)
     assert [r.event_id for r in audits.last_failures(log).collect()] == [2]
-    for audit in (audits.circuit_audit, audits.wait_audit, audits.guard_stats):
-        with pytest.raises(ValueError, match="columns"):
-            audit(log, [])
+    with pytest.raises(ValueError, match="columns"):
+        audits.guard_stats(log, [])
+    # the whole log is one client
+    assert [r.consecutive_failures for r in audits.circuit_audit(log, []).orderBy("event_id").collect()] == [0, 0, 1, 0]
 
 
 def page(ranks, after=None):
