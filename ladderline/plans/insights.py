@@ -17,19 +17,19 @@ from ladderline.sources.store import filtered
 #: Rows of each list of the summary, and of each section of the report.
 LIMITS = {"active_streaks": 20, "longest_streaks": 20, "recent_shocks": 20, "biggest_improvements": 10, "biggest_drops": 10, "new_entries": 20, "recent_exits": 20}
 REPORT_ROWS = 10
-#: The lines of the report. A section has a title, a line for the case that it is empty, and two lines a row.
-TITLE, RULE = "RANKING INSIGHTS REPORT", "=" * 60
+#: The lines of the report. A section has a heading, a line for the case that it is empty, and two lines a row.
+TITLE, RULE = "Rankings at a glance", "~" * 48
 SECTIONS = {
-    "active_streaks": ("--- TOP N ACTIVE STREAKS ---", "  No active streaks found"),
-    "recent_shocks": ("--- RECENT RANK SHOCKS ---", "  No recent rank shocks found"),
-    "new_entries": ("--- NEW TOP N ENTRIES ---", "  No new entries found"),
-    "recent_exits": ("--- RECENT TOP N EXITS ---", "  No recent exits found"),
+    "active_streaks": ("Holding on", "  (nobody is holding on)"),
+    "recent_shocks": ("Jumps and falls", "  (ranks are calm)"),
+    "new_entries": ("Newcomers", "  (nobody came in)"),
+    "recent_exits": ("Gone", "  (nobody left)"),
 }
 ROW_FORMATS = {
-    "active_streaks": ("    Top%d for %d days (current rank: #%d)", ("top_n_threshold", "streak_days", "current_rank")),
-    "recent_shocks": ("    %s: #%d -> #%d (%s)", ("date", "previous_rank", "new_rank", "signed_change")),
-    "new_entries": ("    Entered Top%d on %s at #%d (now #%d)", ("top_n_threshold", "entry_date", "entry_rank", "current_rank")),
-    "recent_exits": ("    Left Top%d on %s (was #%d, in top for %d days)", ("top_n_threshold", "exit_date", "last_rank_in_top_n", "days_in_top_n")),
+    "active_streaks": ("      %d days running among the first %d, rank %d at present", ("streak_days", "top_n_threshold", "current_rank")),
+    "recent_shocks": ("      %s: from rank %d to rank %d on %s", ("signed_change", "previous_rank", "new_rank", "date")),
+    "new_entries": ("      among the first %d since %s, from rank %d to rank %d at present", ("top_n_threshold", "entry_date", "entry_rank", "current_rank")),
+    "recent_exits": ("      %d days among the first %d, the last of them %s at rank %d", ("days_in_top_n", "top_n_threshold", "exit_date", "last_rank_in_top_n")),
 }
 #: Of each list: what it is taken from, which of its rows, the number and the date that the union shows.
 _LISTS = {
@@ -90,7 +90,7 @@ def report_lines(lists: dict[str, DataFrame], most: int = REPORT_ROWS) -> DataFr
             rows = rows.withColumn("signed_change", signed(F.col("change")))
         # a rank that can't be shown is written as None
         text = F.concat(*(x for part, field in zip(re.split("%[ds]", form), [*fields, None], strict=True) for x in (F.lit(part), *([F.coalesce(F.col(field).cast("string"), F.lit("None"))] if field else ()))))
-        head = F.concat(F.lit("  ["), F.col("market"), F.lit("] "), shortened(F.col("product_name")))
+        head = F.concat(F.lit("  * "), shortened(F.col("product_name")), F.lit(" on "), F.col("market"))
         # the lists are sorted, and at most `most` rows: numbering them needs one small task
         part = rows.select(head.alias("head"), text.alias("detail")).withColumn("nth", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
         part = part.select(F.lit(name).alias("section"), "nth", "head", "detail")

@@ -251,7 +251,7 @@ _over("kst_date", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') A
 _over(
     "run_log_status",
     "SELECT event_id, CASE event_type WHEN 'view' THEN 'stopped_by_budget' WHEN 'click' THEN 'stopped_by_robots' WHEN 'error' THEN 'blocked' WHEN 'signup' THEN CASE WHEN event_id % 3 > 0 THEN 'success' ELSE 'failed' END ELSE 'failed' END AS status FROM events",
-    lambda e: e.select("event_id", text.run_status(F.expr("CASE event_type WHEN 'view' THEN 'stopped_by_budget' WHEN 'click' THEN 'robots_denied' WHEN 'error' THEN 'blocked' WHEN 'signup' THEN '' ELSE 'timeout' END"), F.col("event_id") % 3).alias("status")),
+    lambda e: e.select("event_id", text.run_status(F.expr("CASE event_type WHEN 'view' THEN 'stopped_by_budget' WHEN 'click' THEN 'robots_disallowed' WHEN 'error' THEN 'blocked' WHEN 'signup' THEN '' ELSE 'timeout' END"), F.col("event_id") % 3).alias("status")),
     _table("events"),
 )
 _over(
@@ -354,16 +354,16 @@ def _with_first(rows: str) -> str:
     return f"SELECT x.*, first_seq FROM ({rows}) x JOIN (SELECT {_KEYS}, min(row_seq) AS first_seq FROM ({EVENTS_SQL}) GROUP BY ALL) f USING ({_KEYS})"
 
 
-_HEAD = "'  [' || market || '] ' || substr(product_name, 1, 40) || '...' AS head"
+_HEAD = "'  * ' || substr(product_name, 1, 40) || '...' || ' on ' || market AS head"
 _over(
     "report_lines",
-    f"""SELECT 'active_streaks' AS section, nth, {_HEAD}, printf('    Top%d for %d days (current rank: #%d)', top_n_threshold, streak_days, current_rank) AS detail
+    f"""SELECT 'active_streaks' AS section, nth, {_HEAD}, printf('      %d days running among the first %d, rank %d at present', streak_days, top_n_threshold, current_rank) AS detail
  FROM ({_nth(_with_first(streaks_sql(EVENTS_SQL)) + " WHERE is_active", f"streak_days DESC, first_seq, top_n_threshold, {_KEYS}")})
- UNION ALL SELECT 'recent_shocks', nth, {_HEAD}, printf('    %s: #%d -> #%d (%s%d)', date, previous_rank, new_rank, CASE WHEN change > 0 THEN '+' ELSE '' END, change)
+ UNION ALL SELECT 'recent_shocks', nth, {_HEAD}, printf('      %s%d: from rank %d to rank %d on %s', CASE WHEN change > 0 THEN '+' ELSE '' END, change, previous_rank, new_rank, date)
  FROM ({_nth(_with_first(_recent_sql(EVENTS_SQL)), f"abs(change) DESC, date, first_seq, {_KEYS}")})
- UNION ALL SELECT 'new_entries', nth, {_HEAD}, printf('    Entered Top%d on %s at #%d (now #%d)', top_n_threshold, entry_date, entry_rank, current_rank)
+ UNION ALL SELECT 'new_entries', nth, {_HEAD}, printf('      among the first %d since %s, from rank %d to rank %d at present', top_n_threshold, entry_date, entry_rank, current_rank)
  FROM ({_nth(_with_first(entries_sql(EVENTS_SQL)), f"entry_date DESC, first_seq, top_n_threshold, {_KEYS}")})
- UNION ALL SELECT 'recent_exits', nth, {_HEAD}, printf('    Left Top%d on %s (was #%d, in top for %d days)', top_n_threshold, exit_date, last_rank_in_top_n, days_in_top_n)
+ UNION ALL SELECT 'recent_exits', nth, {_HEAD}, printf('      %d days among the first %d, the last of them %s at rank %d', days_in_top_n, top_n_threshold, exit_date, last_rank_in_top_n)
  FROM ({_nth(_with_first(exits_sql(EVENTS_SQL)), f"exit_date DESC, first_seq, top_n_threshold, {_KEYS}")})""",
     lambda h: report_lines(summary(h)),
 )
@@ -433,7 +433,7 @@ def redirect_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REASONED = """SELECT *, CASE WHEN NOT success THEN CASE event_id % 4 WHEN 0 THEN 403 ELSE 500 END END AS status_code,
- CASE WHEN NOT success THEN CASE event_id % 4 WHEN 1 THEN 'captcha_indicator:x' WHEN 2 THEN 'robots_denied' ELSE '' END END AS reason FROM (SELECT event_id, ts, user_id, event_type <> 'error' AS success FROM events)"""
+ CASE WHEN NOT success THEN CASE event_id % 4 WHEN 1 THEN 'captcha_indicator:x' WHEN 2 THEN 'robots_disallowed' ELSE '' END END AS reason FROM (SELECT event_id, ts, user_id, event_type <> 'error' AS success FROM events)"""
 _STOPS = f"""SELECT *, CASE WHEN success THEN NULL WHEN status_code = 403 THEN 'blocked' WHEN contains(reason, 'captcha') THEN 'blocked' WHEN contains(reason, 'robots') THEN 'stopped_by_robots' WHEN cf >= 2 THEN 'stopped_by_failures' END AS stop_reason
  FROM (SELECT *, sum(CAST(NOT success AS INTEGER)) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS cf
  FROM (SELECT *, sum(CAST(success AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM ({_REASONED})))"""
@@ -441,7 +441,7 @@ _STOPS = f"""SELECT *, CASE WHEN success THEN NULL WHEN status_code = 403 THEN '
 
 def _reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed, k = ~F.col("success"), F.col("event_id") % 4
-    return _requests(spark, sf_dir).withColumns({"status_code": F.when(failed, F.when(k == 0, 403).otherwise(500)), "reason": F.when(failed, F.when(k == 1, "captcha_indicator:x").when(k == 2, "robots_denied").otherwise(""))})
+    return _requests(spark, sf_dir).withColumns({"status_code": F.when(failed, F.when(k == 0, 403).otherwise(500)), "reason": F.when(failed, F.when(k == 1, "captcha_indicator:x").when(k == 2, "robots_disallowed").otherwise(""))})
 
 
 query(f"SELECT event_id, stop_reason, max(stop_reason IS NOT NULL) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS is_open FROM ({_STOPS})", "circuit_reasons")(lambda spark, sf_dir: audits.circuit_audit(_reasoned(spark, sf_dir), ["user_id"], 2).select("event_id", "stop_reason", "is_open"))

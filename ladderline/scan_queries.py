@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from ladderline.operators import audits, entry_exit, run_summaries, time_joins
+from ladderline.operators import audits, entry_exit, rollups, run_summaries, sketches, time_joins
 from ladderline.operators import streaks as streak_ops
-from ladderline.queries import _REQUESTS, _ROW_KEY, BRANDS_SQL, EVENTS_SQL, _over, _requests, _scratch, _table, entries_sql, exits_sql, query, shocks_sql, streaks_sql
-from ladderline.sources import store
+from ladderline.queries import _KEYS, _REQUESTS, _ROW_KEY, BRANDS_SQL, EVENTS_SQL, _over, _requests, _scratch, _table, entries_sql, exits_sql, query, shocks_sql, streaks_sql
+from ladderline.sources import store, text_files
 from ladderline.sources.adapters import rank_brands, rank_events
 from ladderline.streaming import ranks, sinks, standings
 from ladderline.streaming.standings import STATE_STORE
@@ -127,3 +128,94 @@ def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History appended from a stream whose parts overlap by a day: every row is stored once."""
     path = _streamed(spark, rank_events(spark, sf_dir), True, lambda stream, out: stream.writeStream.foreachBatch(sinks.append_history(out)))
     return sinks.appended_history(spark, path).select("date_kst", "market", "category_key", "rank", "product_name_raw", "product_url", "row_key")
+
+
+# totals of several groupings at once
+def _sets_sql(history: str, groups: str, columns: str) -> str:
+    return f"""SELECT {columns}, count(*) AS n_rows, count(DISTINCT product_url) AS n_products, min(rank) AS best_rank, CAST(sum(rank) AS BIGINT) AS rank_sum, CAST(GROUPING_ID({columns}) AS INTEGER) AS grouping_id
+ FROM (SELECT *, substr(date_kst, 1, 7) AS month FROM ({history})) GROUP BY {groups}"""
+
+
+_over("rank_cube", _sets_sql(EVENTS_SQL, "CUBE (market, date_kst)", "market, date_kst"), lambda h: rollups.cube(h, ["market", "date_kst"]))
+_over("brand_rollup", _sets_sql(BRANDS_SQL, "ROLLUP (product_name_raw, month)", "product_name_raw, month"), lambda h: rollups.rollup(h, ["product_name_raw", "month"]), rank_brands)
+_over(
+    "brand_grouping_sets",
+    _sets_sql(BRANDS_SQL, "GROUPING SETS ((market, month), (product_name_raw), (category_key, product_name_raw), ())", "market, month, product_name_raw, category_key"),
+    lambda h: rollups.grouping_sets(h, [["market", "month"], ["product_name_raw"], ["category_key", "product_name_raw"], []]),
+    rank_brands,
+)
+
+# frames of days, and places within a day
+_over(
+    "rank_trends",
+    f"""SELECT {_KEYS}, date_kst, rank, row_seq, round(avg(rank) OVER w, 6) AS mean_rank, min(rank) OVER w AS best_rank, count(rank) OVER w AS days_seen, arg_min(rank, (day, row_seq)) OVER w AS oldest_rank
+ FROM (SELECT *, date_diff('day', DATE '1970-01-01', CAST(date_kst AS DATE)) AS day FROM ({EVENTS_SQL})) WINDOW w AS (PARTITION BY {_KEYS} ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+    rollups.rank_trends,
+)
+_over(
+    "day_standings",
+    f"""SELECT date_kst, {_KEYS}, rank, round(percent_rank() OVER w, 6) AS better_share, round(cume_dist() OVER w, 6) AS cumulative_share, CAST(ntile(10) OVER w AS INTEGER) AS tile, nth_value(rank, 2) OVER w AS second_so_far,
+ nth_value(product_url, 3) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third_product, CAST(dense_rank() OVER (PARTITION BY date_kst, market, category_key ORDER BY rank // 5) AS INTEGER) AS group_of_five
+ FROM ({BRANDS_SQL}) WINDOW w AS (PARTITION BY date_kst, market, category_key ORDER BY rank, product_url)""",
+    rollups.day_standings,
+    rank_brands,
+)
+
+# two months compared as multisets
+_HALVES = f"SELECT market, rank, product_name_raw FROM ({EVENTS_SQL}) WHERE date_kst "
+
+
+def _halves(h: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = h.select("market", "rank", "product_name_raw", "date_kst")
+    return rows.where("date_kst < '2024-01-16'").drop("date_kst"), rows.where("date_kst >= '2024-01-16'").drop("date_kst")
+
+
+_over("halves_intersect_all", f"{_HALVES} < '2024-01-16' INTERSECT ALL {_HALVES} >= '2024-01-16'", lambda h: _halves(h)[0].intersectAll(_halves(h)[1]))
+_over("halves_except_all", f"{_HALVES} < '2024-01-16' EXCEPT ALL {_HALVES} >= '2024-01-16'", lambda h: _halves(h)[0].exceptAll(_halves(h)[1]))
+
+
+# sketches by day, stored, merged over all days
+@query(
+    """SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS distinct_keys, max(most) AS most_frequent, true AS median_within FROM (SELECT *, count(*) OVER (PARTITION BY event_type, user_id) AS most FROM events) GROUP BY event_type"""
+)
+def event_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users (exact up to some hundreds), the count of the most frequent user, and whether the sketched median's rank is within the stated error."""
+    events, path = _table("events")(spark, sf_dir), _scratch(spark, "sketches")
+    by_day = sketches.sketched(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], F.col("user_id"), F.col("value"), F.col("user_id"))
+    sketches.store_sketches(by_day, path, "day")
+    found = sketches.estimates(sketches.merged(sketches.read_sketches(spark, path), ["event_type"]), [0.5], 1)
+    found = found.select("event_type", "n_rows", "distinct_keys", F.get("quantiles", F.lit(0)).alias("median"), F.get("frequent", F.lit(0))["count"].alias("most_frequent"))
+    shares = events.join(found.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.avg((F.col("value") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("upto"))
+    error = sketches.RANK_ERROR
+    return found.join(shares, "event_type").select("event_type", "n_rows", "distinct_keys", "most_frequent", ((F.col("below") <= 0.5 + error) & (F.col("upto") >= 0.5 - error)).alias("median_within"))
+
+
+# text files, some of whose lines can't be read
+_NOTE = "event_type || ',\"' || chr(10) || event_id || '\"'"
+_FILE_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("note", T.StringType())])
+_FILE_ROWS = f"SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN user_id END AS user_id, value, {_NOTE} AS note, event_id % 50 = 7 AS corrupt FROM events"
+
+
+def _through_files(write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str, T.StructType], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Events written as text, some with a user that is no number, and read again: the rest of such a row is there, and it counts as corrupt."""
+        path, user = _scratch(spark, "text"), F.col("user_id").cast("string")
+        write(_table("events")(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 50 == 7, F.concat(F.lit("user "), user)).otherwise(user).alias("user_id"), "value", F.expr(_NOTE.replace("chr(10)", "char(10)")).alias("note")), path)
+        return read(spark, path, _FILE_SCHEMA).withColumn("corrupt", F.col(text_files.CORRUPT).isNotNull()).drop(text_files.CORRUPT)
+
+    return f
+
+
+query(_FILE_ROWS, "events_through_csv")(_through_files(text_files.write_csv, text_files.read_csv))
+def _json_lines(rows: DataFrame, path: str) -> None:
+    """One object a line, users as numbers where they are."""
+    rows.select(F.regexp_replace(F.to_json(F.struct("*")), '"user_id":"([0-9]+)"', '"user_id":$1')).write.text(path)
+
+
+query(_FILE_ROWS, "events_through_json")(_through_files(_json_lines, text_files.read_json))
+_over(
+    "event_props",
+    "SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k, event_id % 50 = 7 AS corrupt FROM events",
+    lambda e: text_files.parsed_column(e.select("event_id", F.when(F.col("event_id") % 50 == 7, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("props")), "props", T.StructType([T.StructField("k", T.IntegerType())])).select("event_id", "k", F.col(text_files.CORRUPT).isNotNull().alias("corrupt")),
+    _table("events"),
+)

@@ -137,7 +137,8 @@ def with_brand(rows: DataFrame, keywords: list[str]) -> DataFrame:
 
 
 def page_faults(rows: DataFrame, least: int = LEAST_ITEMS, most: int = MOST_ITEMS) -> DataFrame:
-    """Opt-in check: pages (run, category, date) with too few or too many items, or items without rank, name or URL."""
+    """Opt-in check: pages (run, category, date) with too few or too many items, or items without rank, name or URL. Rows without a run_id column are of one run."""
     lacks = F.col("rank").isNull() | (F.coalesce("product_name_raw", F.lit("")) == "") | (F.coalesce("product_url", F.lit("")) == "")
-    pages = rows.groupBy("date_kst", "market", "category_key").agg(F.count("*").alias("n_items"), F.count_if(lacks).alias("n_incomplete"))
+    run = ["run_id"] if "run_id" in rows.columns else []
+    pages = rows.groupBy(*run, "date_kst", "market", "category_key").agg(F.count("*").alias("n_items"), F.count_if(lacks).alias("n_incomplete"))
     return pages.where((F.col("n_incomplete") > 0) | ~F.col("n_items").between(least, most))

@@ -64,6 +64,6 @@ def test_command_line(path, spark, capsys, tmp_path):
     assert main(["--config", str(path), "--dry-run", "--market", "amazon_us"]) == 0
     assert "1 categories" in capsys.readouterr().out
     assert main(["--config", str(path), "--insights-only", "--history", str(tmp_path / "none")]) == 0
-    assert "RANKING INSIGHTS REPORT" in capsys.readouterr().out
+    assert "Rankings at a glance" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["--config", str(path)])

@@ -8,6 +8,7 @@ import pytest
 from ladderline.operators.entry_exit import exits, new_entries
 from ladderline.operators.shocks import improvements, recent_shocks, shocks
 from ladderline.operators.streaks import active_streaks, streaks
+from ladderline.plans import insights
 from ladderline.plans.insights import report, summary
 
 SCHEMA = "date_kst string, market string, category_key string, product_url string, product_name_raw string, rank string, row_seq long"
@@ -87,13 +88,13 @@ def test_an_unreadable_latest_rank(spark):
 def test_empty_history(spark):
     lists = summary(history(spark, []))
     assert all(rows.count() == 0 for rows in lists.values())
-    assert "No new entries" in report(lists)
+    assert "(nobody came in)" in report(lists)
 
 
 def test_report(spark):
     text = report(summary(history(spark, STREAKS)))
-    assert text.count("---") >= 8 and "Top5 for 5 days (current rank: #3)" in text and "No recent exits" not in text
-    assert "#20 -> #5 (+15)" in report(summary(history(spark, SHOCKS)))
+    assert all(heading in text for heading, _ in insights.SECTIONS.values()) and "5 days running among the first 5, rank 3 at present" in text and "(nobody left)" not in text
+    assert "+15: from rank 20 to rank 5 on" in report(summary(history(spark, SHOCKS)))
 
 
 def test_one_exchange_by_series(spark, capsys):

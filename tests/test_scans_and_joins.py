@@ -21,7 +21,7 @@ def request_log(seed, n=200):
     rows = []
     for k in range(n):
         success = rng.random() < 0.45
-        status, reason = (200, None) if success else rng.choice([(500, "timeout"), (500, None), (500, ""), (503, "slow"), *([(403, None), (429, "captcha_x"), (None, "robots_denied")] if rng.random() < 0.04 else [])])
+        status, reason = (200, None) if success else rng.choice([(500, "timeout"), (500, None), (500, ""), (503, "slow"), *([(403, None), (429, "captcha_x"), (None, "robots_disallowed")] if rng.random() < 0.04 else [])])
         rows.append((k, START + timedelta(seconds=rng.randint(0, 40) * 3600), rng.choice(["a", "a", "a", "b", None]), success, status, reason))
     return rows
 

@@ -181,7 +181,7 @@ def test_robots_are_respected():
     web = Web({})
     g = guard(web)
     g.robots = lambda host: "User-agent: *\nDisallow: /a"
-    assert g.fetch("https://s.com/a") == (None, "robots_denied") and web.asked == []
+    assert g.fetch("https://s.com/a") == (None, "robots_disallowed") and web.asked == []
 
 
 STREAM = "date_kst string, market string, category_key string, product_url string, product_name_raw string, rank int"
