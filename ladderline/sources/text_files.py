@@ -37,7 +37,7 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def split_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that could be read, without the column, and those that could not."""
+    """Rows that could be read, without the column, and those that could not. Spark does not read that column alone from files: select others with it, or store the rows first."""
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull())
 
 
