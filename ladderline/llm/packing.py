@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -35,9 +36,9 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 
 class WordIds(dict):
-    """Token ids, as little-endian unsigned 32-bit bytes, of a piece of text that is tokenised by itself; of bounded size."""
+    """Token ids, as little-endian unsigned 32-bit bytes, of a piece of text that is tokenised by itself. Of bounded size: when it is full it becomes the older half, from which words in use come back."""
 
-    MOST, LONGEST = 100_000, 64
+    MOST, LONGEST = 150_000, 64
 
     def __init__(self, vocabulary: str) -> None:
         import public_tokenizers
@@ -50,16 +51,18 @@ class WordIds(dict):
         self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in model["added_tokens"]}
         self.split = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         ranks = {bytes(byte_of[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in self.added}
-        self.vocabulary, self.library = vocabulary, None
+        self.vocabulary, self.library, self.older = vocabulary, None, {}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        ids = self.encoding.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self.older.get(word) or self.encode(word)
         if len(word) <= self.LONGEST:
             if len(self) >= self.MOST:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -81,10 +84,9 @@ class WordIds(dict):
 
     def _of_plain(self, text: str) -> bytes:
         """The pattern never joins what stands before a lone space to what follows, so words can be tokenised each by itself."""
-        longest = max((m.end() - m.start() for m in _SPACES.finditer(text)), default=0)
-        if longest > LONGEST_RUN:
+        if len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in _SPACES.finditer(text)):
             return self._by_library(text)
-        if longest:
+        if _SPACES.search(text):
             return self.encode(text)
         first, *rest = text.split(" ")
         return b"".join([self[first], *[self[" " + word] for word in rest]])
