@@ -6,6 +6,7 @@ language's most common words (with one bin for all other words). A reference is
 language that pass the length and repetition rules: of the nearer half around the median, every source counting once however many
 documents it has. So junk moves it neither as one hot source nor as up to half of each source's documents. Languages without a
 word list share one pooled reference of character classes.
+Medians and means are taken over whole numbers of fixed steps, so that they are exact and do not depend on how rows are dealt out: a run repeats another's verdicts.
 Only built-in expressions are used; the references are as many rows as there are word lists, plus one. Texts are read once: the
 measures are written as a table, from which the references are taken and the documents judged.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderline.llm.common import cut
@@ -36,6 +37,8 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: Below so many words, the histogram of words is too coarse to judge by.
 MIN_HISTOGRAM_WORDS = 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.27
+#: Steps that shares are counted in for medians (of distances, too), and added up in for means.
+GRID, FINE = 10_000, 1_000_000_000
 _SPACE = r"[\x20\x09-\x0D]"
 _SPACES = " \t\n\x0b\f\r"
 _CLASSES = {"upper": r"[A-ZÀ-ÖØ-Þ]", "digit": r"[0-9]", "punctuation": r"[.,;:!?'\"()\-]", "symbol": r"[#*$%&|<>@^~_=+/\\{}\[\]]"}
@@ -109,6 +112,40 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
+def _stepped(value: Column, steps: int) -> Column:
+    """A value as a whole number of steps: sums and medians of these do not depend on the order of rows."""
+    return F.floor(value * steps + 0.5).cast("long")
+
+
+def _by_key(found: DataFrame) -> dict[str, dict[str, float]]:
+    out: dict[str, dict[str, float]] = {}
+    for r in found.collect():  # at most a row for each word list (and one for all else) and column
+        out.setdefault(r["_key"], {})[r["name"]] = r["value"]
+    return out
+
+
+def _cells(rows: DataFrame, columns: dict[str, Column], steps: int) -> DataFrame:
+    named = F.array(*(F.struct(F.lit(name).alias("name"), _stepped(c, steps).alias("at")) for name, c in columns.items()))
+    return rows.select("_key", "_source", F.explode(named).alias("c")).select("_key", "_source", "c.*").where("at is not null")
+
+
+def medians(rows: DataFrame, columns: dict[str, Column]) -> dict[str, dict[str, float]]:
+    """Lower medians by key and column, taken within each source and then over the sources: exact over a grid of GRID steps, from counts of its cells."""
+    cells = _cells(rows, columns, GRID)
+    for by in (["_key", "_source", "name"], ["_key", "name"]):
+        own = Window.partitionBy(*by)  # as many rows as the grid has cells
+        counted = cells.groupBy(*by, "at").agg(F.count("*").alias("n"))
+        upto = counted.select(*by, "at", F.sum("n").over(own.orderBy("at")).alias("upto"), F.sum("n").over(own).alias("all"))
+        cells = upto.where("2 * upto >= all").groupBy(*by).agg(F.min("at").alias("at"))
+    return _by_key(cells.select("_key", "name", (F.col("at") / GRID).alias("value")))
+
+
+def means(rows: DataFrame, columns: dict[str, Column]) -> dict[str, dict[str, float]]:
+    """Means by key and column, taken within each source and then over the sources, from whole numbers."""
+    own = _cells(rows, columns, FINE).groupBy("_key", "_source", "name").agg((F.sum("at") / F.count("*")).alias("mean"))
+    return _by_key(own.groupBy("_key", "name").agg((F.sum(_stepped(F.col("mean"), 1)) / F.count("*") / FINE).alias("value")))
+
+
 def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Histograms by language, and those of all languages under OTHER, of measured documents that are not base_failed.
 
@@ -118,15 +155,9 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     n_chars, n_common = len(_CLASSES) + 2, len(next(iter(COMMON_WORDS.values())))
     used = rows.where(~F.col("base_failed")).select("_source", "_chars", "_common", F.explode(F.array_distinct(F.array(F.col("_language"), F.lit(OTHER)))).alias("_key"))
     used = used.withColumn("share", F.aggregate("_common", F.lit(0.0), lambda total, x: total + x))
-
-    def over_sources(of: DataFrame, how: Callable[[Column], Column], columns: dict[str, Column]) -> dict[str, dict]:
-        own = of.groupBy("_key", "_source").agg(*(how(c).alias(name) for name, c in columns.items()))
-        return {r["_key"]: r.asDict() for r in own.groupBy("_key").agg(*(how(F.col(name)).alias(name) for name in columns)).collect()}  # at most a row for each word list and one for all else
-
-    median = lambda c: F.percentile_approx(c, 0.5, 1000)
     chars = {f"c{i}": F.get("_chars", F.lit(i)) for i in range(n_chars)}
     common = {f"w{i}": F.get("_common", F.lit(i)) for i in range(n_common)}
-    middle = over_sources(used, median, {**chars, "share": F.col("share")})
+    middle = medians(used, {**chars, "share": F.col("share")})
     if not middle:
         return {}
 
@@ -138,10 +169,11 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
 
     centre = of_key({key: F.array(*(F.lit(r[c]) for c in chars)) for key, r in middle.items()})
     used = used.withColumn("_centre", centre).withColumns({"_far": sum(F.abs(c - F.get("_centre", F.lit(i))) for i, c in enumerate(chars.values())), "_off": F.abs(F.col("share") - of_key({key: F.lit(r["share"]) for key, r in middle.items()}))})
-    limits = over_sources(used, median, {"far": F.col("_far"), "off": F.col("_off")})
-    near, usual = (F.col(c) <= of_key({key: F.lit(r[limit]) for key, r in limits.items()}) for c, limit in (("_far", "far"), ("_off", "off")))
-    means = over_sources(used, F.avg, {**{name: F.when(near, c) for name, c in chars.items()}, **{name: F.when(usual, c) for name, c in common.items()}})
-    return {key: ([r[c] for c in chars], [r[w] for w in common] if key in COMMON_WORDS else []) for key, r in means.items()}
+    limits = medians(used, {"far": F.col("_far"), "off": F.col("_off")})
+    # compared in steps of the grid, as the limits are
+    near, usual = (_stepped(F.col(c), GRID) <= of_key({key: _stepped(F.lit(r[limit]), GRID) for key, r in limits.items()}) for c, limit in (("_far", "far"), ("_off", "off")))
+    found = means(used, {**{name: F.when(near, c) for name, c in chars.items()}, **{name: F.when(usual, c) for name, c in common.items()}})
+    return {key: ([r.get(c) for c in chars], [r.get(w) for w in common] if key in COMMON_WORDS else []) for key, r in found.items()}
 
 
 def _entropy_terms(shares: Column) -> Column:

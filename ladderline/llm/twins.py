@@ -5,8 +5,6 @@ They restate the rules row by row (every string, every pair that shares a shingl
 
 from __future__ import annotations
 
-import re
-
 from ladderline.llm import infill, licenses, near_dups, quality_rules, source_audit, substring_dups
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,12 +58,19 @@ def quality_rules_sql() -> str:
         return f"sqrt(greatest(0, {entropy(middle)} - ({entropy(p)} + {entropy(r)}) / 2))"
 
     n_chars, n_common = len(q._CLASSES) + 2, len(q.COMMON_WORDS["en"])
-    over = lambda how, rows, columns: f"SELECT key, {', '.join(f'{how}({c}) AS {c}' for c in columns)} FROM (SELECT key, source, {', '.join(f'{how}({value}) AS {c}' for c, value in columns.items())} FROM {rows} GROUP BY ALL) GROUP BY key"
-    median = lambda rows, columns: over("quantile_disc", rows, columns).replace("quantile_disc(", "median_of(")
+    steps = lambda value, n: f"CAST(floor(({value}) * {n} + 0.5) AS BIGINT)"
+
+    def over(rows: str, columns: dict[str, str], inner: str, outer: str) -> str:
+        """Aggregates within each source, and then over the sources; v is a column's value."""
+        within = ", ".join(f"{inner.replace('{v}', value)} AS {c}" for c, value in columns.items())
+        return f"SELECT key, {', '.join(f'{outer.replace('{v}', c)} AS {c}' for c in columns)} FROM (SELECT key, source, {within} FROM {rows} GROUP BY ALL) GROUP BY key"
+
+    median = lambda rows, columns: over(rows, columns, f"quantile_disc({steps('{v}', q.GRID)}, 0.5)", f"quantile_disc({{v}}, 0.5) / {q.GRID}")
+    mean = lambda rows, columns: over(rows, columns, f"sum({steps('{v}', q.FINE)}) / count({{v}})", f"sum({steps('{v}', 1)}) / count({{v}}) / {q.FINE}")
     each_char = {f"c{i}": f"chars[{i + 1}]" for i in range(n_chars)}
     far = " + ".join(f"abs(chars[{i + 1}] - c{i})" for i in range(n_chars))
-    means = {**{c: f"CASE WHEN far <= lim_far THEN {v} END" for c, v in each_char.items()}, **{f"w{i}": f"CASE WHEN off <= lim_off THEN shares[{i + 1}] END" for i in range(n_common)}}
-    sql = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, lang, source, CASE WHEN lang IN ({', '.join(f"'{x}'" for x in q.COMMON_WORDS)}) THEN lang ELSE '{q.OTHER}' END AS language FROM documents),
+    means = {**{c: f"CASE WHEN {steps('far', q.GRID)} <= {steps('lim_far', q.GRID)} THEN {v} END" for c, v in each_char.items()}, **{f"w{i}": f"CASE WHEN {steps('off', q.GRID)} <= {steps('lim_off', q.GRID)} THEN shares[{i + 1}] END" for i in range(n_common)}}
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, lang, source, CASE WHEN lang IN ({', '.join(f"'{x}'" for x in q.COMMON_WORDS)}) THEN lang ELSE '{q.OTHER}' END AS language FROM documents),
  split AS (SELECT *, {_WORDS.format(text='t')} AS w, {n_of('[\\x20\\x09-\\x0D]')} AS n_space FROM docs),
  windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, i, (w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split))),
  again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM windows CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
@@ -79,15 +84,13 @@ def quality_rules_sql() -> str:
  middle AS ({median('used', {**each_char, 'mid': 'share'})}),
  apart AS (SELECT used.*, {far} AS far, abs(share - mid) AS off FROM used JOIN middle USING (key)),
  bounds AS ({median('apart', {'lim_far': 'far', 'lim_off': 'off'})}),
- means AS ({over('avg', '(SELECT * FROM apart JOIN bounds USING (key))', means)}),
+ means AS ({mean('(SELECT * FROM apart JOIN bounds USING (key))', means)}),
  refs AS (SELECT key, [{', '.join(f'c{i}' for i in range(n_chars))}] AS ref_chars, [{', '.join(f'w{i}' for i in range(n_common))}] AS ref_words FROM means),
  judged AS (SELECT f.*, {distance('chars', 'coalesce(own.ref_chars, other.ref_chars)')} AS char_distance,
   CASE WHEN language <> '{q.OTHER}' AND n_words >= {q.MIN_HISTOGRAM_WORDS} THEN {distance('shares', 'own.ref_words')} END AS word_distance
   FROM failed f LEFT JOIN refs own ON own.key = language AND language <> '{q.OTHER}' LEFT JOIN refs other ON other.key = '{q.OTHER}')
  SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
  NOT base_failed AND coalesce(char_distance, 0) <= {q.MAX_CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {q.MAX_WORD_DISTANCE} AS kept FROM judged"""
-    # the lower median, as Spark's percentile_approx gives it
-    return re.sub(r"median_of\(([^()]*(?:\[[^\]]*\])?[^()]*)\)", r"quantile_disc(\1, 0.5)", sql)
 
 
 def _template_regex(template: str) -> str:

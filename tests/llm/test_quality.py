@@ -97,6 +97,25 @@ def test_empty_rule_tables(spark):
     assert quality_rules.judged(empty).collect() == [] and quality_rules.keep_good(empty).collect() == []
 
 
+def test_verdicts_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    by = []
+    for parts in (1, 7, 60):
+        rows = quality_rules.judged(docs.repartition(parts, F.rand(parts))).select("doc_id", "char_distance", "word_distance", "kept").collect()
+        by.append(sorted(map(tuple, rows)))
+    assert by[0] == by[1] == by[2] and any(not r[-1] for r in by[0])
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 8])
+def test_medians_are_lower_medians_within_and_over_sources(spark, n):
+    rng = random.Random(n)
+    rows = [("k", rng.choice("abc"), rng.randint(0, 12) / 12) for _ in range(3 * n)] + [("j", None, 0.5)]
+    found = quality_rules.medians(spark.createDataFrame(rows, "_key string, _source string, v double"), {"v": F.col("v")})
+    lower = lambda values: sorted(values)[(len(values) - 1) // 2]
+    own = [lower([v for _, s, v in rows[: 3 * n] if s == source]) for source in {s for _, s, _ in rows[: 3 * n]}]
+    assert found["k"]["v"] == pytest.approx(lower(own), abs=1 / quality_rules.GRID) and found["j"]["v"] == 0.5
+
+
 def labelled(spark, n=300):
     rng = random.Random(1)
     rows, labels = [], []
