@@ -36,14 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Paths that cut() and Tables have written, in order.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: the lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many tables have been written so far, as a mark for remove_tables()."""
+    return len(_WRITTEN)
+
+
+def remove_tables(spark: SparkSession, since: int, but_last: int = 0) -> None:
+    """Removes the tables that have been written since a mark, but for the last ones. Nothing that is read later may depend on them."""
+    for path in _WRITTEN[since : len(_WRITTEN) - but_last]:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Tables:
     """Tables that one operator writes on its way, so that they can be removed when its result is written."""
 
@@ -54,6 +75,7 @@ class Tables:
         path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
         df.write.parquet(path)
+        _WRITTEN.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def only(self, df: DataFrame, name: str) -> DataFrame:
@@ -61,8 +83,7 @@ class Tables:
         before, self.paths = self.paths, []
         out = self.cut(df, name)
         for path in before:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(self.spark, path)
         return out
 
 

@@ -58,6 +58,13 @@ def through(spark, docs, folder):
     return docs
 
 
+def test_a_run_leaves_one_table_and_no_setting(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("ladderline.llm.common.shared_dir", lambda _: str(tmp_path))
+    found = corpus_pipeline.run(spark, SF)
+    assert found.count() > 0 and [p.name.split("-")[0] for p in tmp_path.iterdir() if p.name.startswith(("pipeline", "pack", "mix", "quality"))] == ["pack"]
+    assert spark.conf.get(corpus_pipeline._SETTING) == spark.newSession().conf.get(corpus_pipeline._SETTING)
+
+
 def test_odd_rows_pass_all_stages(spark):
     """Nulls, empty and long texts, repeated rows, unknown languages and columns whose names the stages use themselves."""
     docs = frame(spark, ODD).withColumns({c: F.lit("mine") for c in ("n_words", "kept", "component_id", "spans", "rate", "row", "piece", "hash", "_words")})
