@@ -13,7 +13,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderline.llm.common import cut, documents
+from ladderline.llm.common import cut, documents, remove_tables, tables_written
 from ladderline.llm.mixing import mix
 from ladderline.llm.near_dups import keep_one
 from ladderline.llm.packing import pack
@@ -22,12 +22,12 @@ from ladderline.llm.quality_rules import keep_good
 
 #: Tokens of good to tokens of toxic documents after mixing. Poor ones have gone with the quality rules, and have no target of their own.
 COMPOSITION = {"good": 0.98, "toxic": 0.02}
-#: Bytes of texts that a stage sends to a Python worker at once, on both sides of the pipe; stages set it for the session (Spark's own default is 64 MB).
-ARROW_BATCH = "16m"
+#: Bytes of texts that a stage sends to a Python worker at once, on both sides of the pipe; stages set it for the session (Spark's own default is 64 MB), and run() puts back what was set before.
+ARROW_BATCH, _SETTING = "16m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _in_small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    spark.conf.set(_SETTING, ARROW_BATCH)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +65,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again before the next."""
-    docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, f"pipeline-{name}")
+    """All stages over the documents, each written and read again before the next.
+
+    Tables that a stage needs no more are removed once the next one is written, and the session's setting is as it was before.
+    """
+    before = spark.conf.get(_SETTING, None)
+    docs, since = documents(spark, sf_dir), tables_written()
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = cut(docs, f"pipeline-{name}")
+            # what is read from here on is the last table: a stage's result, or the pieces that packing has written
+            remove_tables(spark, since, but_last=1)
+            since = tables_written() - 1
+    finally:
+        spark.conf.unset(_SETTING) if before is None else spark.conf.set(_SETTING, before)
     return docs
