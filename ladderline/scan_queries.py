@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from ladderline.functions import boxes
 from ladderline.operators import audits, entry_exit, rollups, run_summaries, sketches, time_joins
 from ladderline.operators import streaks as streak_ops
 from ladderline.queries import _KEYS, _REQUESTS, _ROW_KEY, BRANDS_SQL, EVENTS_SQL, _over, _requests, _scratch, _table, entries_sql, exits_sql, query, shocks_sql, streaks_sql
@@ -219,3 +220,19 @@ _over(
     lambda e: text_files.parsed_column(e.select("event_id", F.when(F.col("event_id") % 50 == 7, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("props")), "props", T.StructType([T.StructField("k", T.IntegerType())])).select("event_id", "k", F.col(text_files.CORRUPT).isNotNull().alias("corrupt")),
     _table("events"),
 )
+
+# elements of web pages and which contain which
+_KINDS = ("nav", "ul", "li", "div", "article", "p", "b", "table", "tr", "td")
+_TAGS = f"""SELECT page_id, size, i AS nth, piece, coalesce(sum(length(piece)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + i - 1 AS start, lower(regexp_extract(piece, '^/?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name
+ FROM (SELECT page_id, length(h) AS size, unnest(string_split(h, '<')) AS piece, unnest(range(len(string_split(h, '<')))) AS i FROM (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', '', 'g') AS h FROM pages))"""
+_LEVELS = f"""SELECT *, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY nth) + CAST(closes AS INTEGER) AS level
+ FROM (SELECT *, piece[1] = '/' AS closes FROM ({_TAGS}) WHERE nth > 0 AND name IN ({', '.join(f"'{k}'" for k in _KINDS)}))"""
+_ENDS = f"SELECT * FROM (SELECT *, coalesce(lead(CASE WHEN closes THEN start + strpos(piece, '>') + 1 END) OVER (PARTITION BY page_id, name, level ORDER BY nth), size) AS stop FROM ({_LEVELS})) WHERE NOT closes"
+_over(
+    "page_boxes",
+    f"""SELECT page_id, name, count(*) AS n_boxes, count(*) FILTER (of_kind) AS n_of_kind, count(*) FILTER (outer_box) AS n_outer, CAST(sum(stop - start) FILTER (of_kind) AS BIGINT) AS chars FROM (
+ SELECT *, start >= coalesce(max(stop) OVER (PARTITION BY page_id, name ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS of_kind,
+ start >= coalesce(max(stop) OVER (PARTITION BY page_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS outer_box FROM ({_ENDS})) GROUP BY page_id, name""",
+    lambda p: boxes.outermost(boxes.elements(p, "page_id", "html", _KINDS), "page_id").groupBy("page_id", "name").agg(F.count("*").alias("n_boxes"), F.count_if("of_kind").alias("n_of_kind"), F.count_if("outer").alias("n_outer"), F.sum(F.when(F.col("of_kind"), F.col("end") - F.col("start"))).alias("chars")),
+    _table("pages"),
+)
