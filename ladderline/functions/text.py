@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +14,6 @@ BLOCKING_STATUS_CODES = (403, 429, 503)
 CAPTCHA_INDICATORS = ("captcha", "robot check", "verify you are human", "access denied", "access blocked", "rate limited", "too many requests", "ip blocked")
 REDIRECT_PATTERNS = ("/errors/", "/blocked", "/captcha", "sorry")
 RETRY_STATUS_CODES = (429, 502, 503, 504)
-_WIDE, _PLAIN = "０１２３４５６７８９", "0123456789"
 
 
 def clean_text(text: Column) -> Column:
@@ -18,11 +21,23 @@ def clean_text(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")), F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def _decimal_digits() -> tuple[str, str]:
+    """All decimal digits beyond ASCII, and what each stands for."""
+    found = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
+
+
+def plain_digits(text: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    return F.translate(text, *_decimal_digits())
+
+
 def rank_number(text: Column) -> Column:
     """The rank in a text: #n, n位, n등, a lone number, or the first number, whichever form comes first in this list."""
     stripped = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     forms = (r"(?U)#(\d+)", r"(?U)(\d+)位", r"(?U)(\d+)등", r"(?U)^(\d+)$", r"(?U)(\d+)")
-    return F.coalesce(*(F.translate(F.nullif(F.regexp_extract(stripped, p, 1), F.lit("")), _WIDE, _PLAIN).try_cast("int") for p in forms))
+    return F.coalesce(*(plain_digits(F.nullif(F.regexp_extract(stripped, p, 1), F.lit(""))).try_cast("int") for p in forms))
 
 
 def url_authority(url: Column) -> Column:

@@ -482,15 +482,23 @@ _over(
 _over("new_run_ids", "SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y%m%d_%H%M%S') AS at, true AS has_form FROM events", lambda e: e.withColumn("id", text.new_run_id(F.col("ts"))).select("event_id", F.substring("id", 1, 15).alias("at"), F.col("id").rlike(r"^\d{8}_\d{6}_[0-9a-f]{8}$").alias("has_form")), _table("events"))
 
 
-# selectors
-_SELECTOR_ROWS = "\n UNION ALL ".join(
+# selectors, and the web pages whose HTML has the last name that each asks for
+_SELECTORS = "\n UNION ALL ".join(
     f"SELECT {_literal(m)} AS market, {_literal(t)} AS tier, {_literal(n)} AS name, {_literal(config.selector(m, t, n))} AS css, {_literal(config.selector_attribute(m, t, n))} AS attr"
     for m, tiers in ranking_pages.SELECTORS.items()
     for t in ("primary", "fallback")
     for n in tiers[t]
     if n != "pagination"
 )
-query(_SELECTOR_ROWS, "selector_rows")(lambda spark, sf_dir: config.selector_table(spark).where("name <> 'pagination'").select("market", "tier", "name", F.coalesce("css", "alt_css").alias("css"), "attr"))
+
+
+@query(f"SELECT s.*, (SELECT count(*) FROM pages WHERE contains(lower(html), regexp_extract(lower(css), '([a-z0-9_-]+)[^a-z0-9_-]*$', 1))) AS n_pages FROM ({_SELECTORS}) s")
+def selector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selectors = config.selector_table(spark).where("name <> 'pagination'").select("market", "tier", "name", F.coalesce("css", "alt_css").alias("css"), "attr")
+    asked = selectors.select("market", "tier", "name", F.regexp_extract(F.lower("css"), "([a-z0-9_-]+)[^a-z0-9_-]*$", 1).alias("last"))
+    # some twenty selectors, whatever the pages
+    met = _table("pages")(spark, sf_dir).select(F.lower("html").alias("low")).join(F.broadcast(asked), F.contains("low", "last")).groupBy("market", "tier", "name").agg(F.count("*").alias("n_pages"))
+    return selectors.join(met, ["market", "tier", "name"], "left").na.fill(0, ["n_pages"])
 
 
 # pages that lack a rank, have more cards than asked for, go on, or have nested boxes

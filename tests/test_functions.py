@@ -18,6 +18,11 @@ def test_rank_numbers(spark):
     assert values(spark, list(cases), text.rank_number(F.col("x"))) == list(cases.values())
 
 
+def test_digits_of_other_scripts_are_numbers(spark):
+    cases = {"#١٢": 12, "४५位": 45, "𝟕": 7, "１位": 1, "rank ๓": 3, "²": None, "Ⅷ": None}
+    assert values(spark, list(cases), text.rank_number(F.col("x"))) == list(cases.values())
+
+
 def test_clean_text(spark):
     cases = {"  Hello   World  ": "Hello World", "\n\tTest\n\n": "Test", "No  Extra   Spaces": "No Extra Spaces", "  a　b\x1c ": "a b", "": "", None: ""}
     assert values(spark, list(cases), text.clean_text(F.col("x"))) == list(cases.values())
