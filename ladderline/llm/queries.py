@@ -82,8 +82,23 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(documents(spark, sf_dir))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op1's result SQL can say: which text follows which, and the edited texts."""
+    return op1_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def personal_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3's result SQL can say: the spans of plain patterns."""
+    return op3_pii(spark, sf_dir).drop("spans")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10's result SQL can say: the spans of plain patterns."""
+    return op10_secret_scans(spark, sf_dir).drop("spans")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_packing, op3_pii, op4_quality_classifier, op5_license_scans, op6_mixing, op7_suffix_dedup, op8_quality_rules, op9_near_dedup, op10_secret_scans, op11_token_counts, op12_infill, op13_source_audit)
+    for f in (op1_fingerprints, op2_packing, op3_pii, op4_quality_classifier, op5_license_scans, op6_mixing, op7_suffix_dedup, op8_quality_rules, op9_near_dedup, op10_secret_scans, op11_token_counts, op12_infill, op13_source_audit, edited_texts, personal_base_spans, secret_base_spans)
 }

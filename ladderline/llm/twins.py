@@ -5,7 +5,7 @@ They restate the rules row by row (every string, every pair that shares a shingl
 
 from __future__ import annotations
 
-from ladderline.llm import infill, licenses, near_dups, quality_rules, source_audit, substring_dups
+from ladderline.llm import infill, licenses, near_dups, quality_rules, secrets, source_audit, substring_dups
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -144,4 +144,41 @@ def source_audit_sql(min_docs: int = source_audit.MIN_DOCS, top: int = source_au
  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {top}"""
 
 
-ORACLE_SQL = {"op5_license_scans": license_scans_sql(), "op7_suffix_dedup": substring_dedup_sql(), "op8_quality_rules": quality_rules_sql(), "op9_near_dedup": near_dedup_sql(), "op12_infill": infill_sql(), "op13_source_audit": source_audit_sql()}
+def edited_texts_sql() -> str:
+    return """SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(following, 1, length(t) // 3)) AS edited_sha256
+ FROM (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS following FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+
+
+def _spans_sql(kinds: dict[str, tuple[str, str]]) -> str:
+    """Counts by kind and the hash of all spans. kinds: pattern and the condition on a match m; places follow from what stands between matches."""
+    before = "list_sum(list_transform(pieces[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i], lambda x: length(x))), 0)"
+    quoted = lambda pattern: pattern.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS kind_no, '{kind}' AS kind, low, low + length(m) AS high FROM (SELECT doc_id, unnest(hits) AS m, unnest(list_transform(range(len(hits)), lambda i: {before})) AS low
+ FROM (SELECT doc_id, regexp_extract_all(t, '{quoted(pattern)}') AS hits, string_split_regex(t, '{quoted(pattern)}') AS pieces FROM docs)) WHERE {condition}"""
+        for k, (kind, (pattern, condition)) in enumerate(kinds.items())
+    )
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{kind}') AS BIGINT) AS n_{kind}" for kind in kinds)
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({found})
+ SELECT docs.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || low || ':' || high, ',' ORDER BY low, kind_no), '')) AS base_sha256 FROM docs LEFT JOIN spans USING (doc_id) GROUP BY docs.doc_id"""
+
+
+def secret_base_spans_sql() -> str:
+    value = secrets._ASSIGN.pattern.replace("'", "''")
+    return _spans_sql({"assign": (secrets._ASSIGN.pattern, f"length(regexp_extract(m, '{value}', 2)) >= 12"), "access": ("AKIA[A-Z0-9]+", "length(m) >= 18"), "hex": ("[0-9a-f]{16,}", "true")})
+
+
+def personal_base_spans_sql() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(reverse({digits}), i + 1, 1) AS INTEGER) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr(reverse({digits}), i + 1, 1) AS INTEGER) + 1] END)) % 10 = 0"
+    return _spans_sql(
+        {
+            "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+            "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS INTEGER), 0) > 255)) = 0"),
+            "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn}"),
+            "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        }
+    )
+
+
+ORACLE_SQL = {"edited_texts": edited_texts_sql(), "personal_base_spans": personal_base_spans_sql(), "secret_base_spans": secret_base_spans_sql(), "op5_license_scans": license_scans_sql(), "op7_suffix_dedup": substring_dedup_sql(), "op8_quality_rules": quality_rules_sql(), "op9_near_dedup": near_dedup_sql(), "op12_infill": infill_sql(), "op13_source_audit": source_audit_sql()}
