@@ -37,7 +37,7 @@ SAMPLES, SKETCH_BITS = 256, 2048
 LINK_PERCENT, SKETCH_FLOOR = 80, 0.65
 #: Most documents of a group, and most shingles of their sets, in a block: two blocks are compared in one task at once.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
-#: How often a class is repeated among the keys of the last join, so that the copies of one text do not meet in one task.
+#: How often a class or label is repeated among the keys that it is looked up by, so that the copies of one text, or the nodes of one component, do not meet in one task.
 SALTS = 8
 _RANDOM = np.random.default_rng(11)
 _MULTIPLY = _RANDOM.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,13 +198,16 @@ def links_in_blocks(docs: DataFrame, dealt: DataFrame, words: int, percent: int,
 def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component): the smallest node that links lead to. Labels move over links and then jump to their label's label."""
     tables = tables or Tables(links.sparkSession)
-    both = tables.cut(links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e")).select("e.*").distinct(), "links")
+    # a node that many others are linked with, or have as their label, is looked up under several keys
+    own_salt, salts = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    both = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("e")).select("e.*").distinct()
+    both = tables.cut(both.withColumn("salt", own_salt), "links")
     labels = tables.cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("to"), F.col("component").alias("seen")), "to").groupBy("node").agg(F.min("seen").alias("seen"))
-        moved = labels.join(near, "node").select("node", F.least("component", "seen").alias("next"), "component")
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
-        new = tables.cut(moved.join(jump, "next").select("node", F.least("next", "further").alias("component"), (F.least("next", "further") != F.col("component")).alias("changed")), "labels")
+        near = both.join(labels.select(F.col("node").alias("to"), F.col("component").alias("seen"), salts), ["to", "salt"]).groupBy("node").agg(F.min("seen").alias("seen"))
+        moved = labels.join(near, "node").select("node", F.least("component", "seen").alias("next"), "component", own_salt.alias("salt"))
+        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"), salts)
+        new = tables.cut(moved.join(jump, ["next", "salt"]).select("node", F.least("next", "further").alias("component"), (F.least("next", "further") != F.col("component")).alias("changed")), "labels")
         labels = new.select("node", "component")
         if new.where("changed").limit(1).count() == 0:
             return labels
