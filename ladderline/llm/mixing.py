@@ -1,12 +1,13 @@
-"""Mixing sources to target weights: soft domain membership, and document rates fitted by projected gradient.
+"""Mixing sources to target weights: soft domain membership, and document rates fitted by projected least squares.
 
 A naive Bayes classifier, fitted on a bounded sample of labelled documents, gives every document its posterior over the
 domains. Rates x >= 0 (how often a document is to be used) are then fitted so that the expected tokens of each domain,
-sum over documents of posterior x tokens x rate, meet the targets: projected gradient descent on the weighted squares of what is
-missing, with a pull of every rate to 1 that shrinks until the targets are met, or to PULL where they cannot be. Gradients are combinations of
+sum over documents of posterior x tokens x rate, meet the targets: least squares of what is
+missing, projected on the bounds, with a pull of every rate to 1 that shrinks until the targets are met, or to PULL where they cannot be. Gradients are combinations of
 the domains' posteriors, so the sum of all steps is one number a domain, and projecting it on the bounds gives a document's rate: nothing
-is kept for each document between iterations. A step is one distributed sum; it is scaled by the curvature over the documents that are not at a
-bound, and halved until the objective falls. Only built-in expressions are used.
+is kept for each document between iterations. A step is one distributed sum of gradient and curvature. It is no plain gradient step but the gradient scaled by
+the inverse curvature over the documents that are not at a bound (a Newton step on those numbers), halved until the objective falls: plain projected steps, which a test
+compares its rates with, come to the same rates in thousands of sums instead of some dozens. Only built-in expressions are used.
 
 Defined cases: a null or empty text has 0 tokens and the posterior of its structure alone; a long text is read whole, and its words count once each; without labels all domains are as likely; labels that
 repeat a doc_id count once (the smallest); repeated rows of documents get equal rates; an empty table gives an empty table; other columns are ignored,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderline.llm.common import documents, shared_dir
+from ladderline.llm.common import documents, remove, shared_dir
 from ladderline.llm.fingerprints import compare_with_next
 from ladderline.llm.infill import digests
 from ladderline.llm.licenses import scan_licenses
@@ -70,8 +70,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each call has a cache of its own, which begins empty, so that every call counts all texts."""
-    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    """Each call has a cache of its own, which begins empty, so that every call counts all texts; it goes when the counts are written."""
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    found = count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), cache)
+    remove(spark, cache)
+    return found
 
 
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
