@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ladderline import scan_queries
 from ladderline.functions.urls import crawl_delay, crawl_delay_of
 from ladderline.operators import rollups, sketches
 from ladderline.sources import text_files
@@ -66,6 +67,19 @@ def test_merged_sketches_are_within_their_errors(spark, tmp_path):
     assert some.n_rows == 10_000
 
 
+def test_counts_beside_sketches_are_exact(spark, tmp_path):
+    """More users than a sketch counts exactly, a null type, and a type without values."""
+    day = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 200_000).alias("ts")
+    kind = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 7 == 1, "empty").otherwise(F.concat(F.lit("k"), (F.col("id") % 3).cast("string")))
+    user = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 13 < 2, F.lit(5)).otherwise(F.col("id") % 9_973)
+    rows = spark.range(60_000).select(F.col("id").alias("event_id"), day, user.alias("user_id"), kind.alias("event_type"), F.when(F.col("id") % 7 != 1, F.rand(3)).alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "events.parquet"))
+    users = rows.groupBy("event_type", "user_id").count().groupBy("event_type").agg(F.sum("count"), F.count_if(F.col("user_id").isNotNull()), F.max("count"))
+    found = scan_queries.event_sketches(spark, str(tmp_path)).collect()
+    assert sorted(map(str, ((*r[:4],) for r in found))) == sorted(map(str, map(tuple, users.collect()))) and all(r.median_within for r in found) and len(found) == 5
+
+
 SCHEMA = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
 
 
