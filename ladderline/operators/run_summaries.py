@@ -20,7 +20,7 @@ from ladderline.operators.series import prepared, with_thresholds
 #: A run; its first fields put the best run first: most days, then the earliest start. whole: it is all of the block's valid rows.
 _RUN = "struct<minus_days:int,start:string,start_seq:bigint,end:string,lost:boolean,whole:boolean>"
 _EDGE = "struct<date_kst:string,row_seq:bigint,d:date,inside:boolean>"
-_SUMMARY = {"rows": "bigint", "first": _EDGE, "last": _EDGE, "head": _RUN, "tail": _RUN, "best": _RUN, "first_seq": "bigint", "low": "struct<date_kst:string,row_seq:bigint>", "latest": "struct<date_kst:string,row_seq:bigint,product_name:string,rank:int>"}
+SUMMARY = {"rows": "bigint", "first": _EDGE, "last": _EDGE, "head": _RUN, "tail": _RUN, "best": _RUN, "first_seq": "bigint", "low": "struct<date_kst:string,row_seq:bigint>", "latest": "struct<date_kst:string,row_seq:bigint,product_name:string,rank:int>"}
 _KEYS = [*SERIES, "n", "threshold_pos"]
 
 
@@ -35,7 +35,11 @@ def _run(minus_days: Column, start: Column, start_seq: Column, end: Column, lost
 
 def summarised(history: DataFrame, thresholds: Sequence[int] | None = None, block: Callable[[Column], Column] = month) -> DataFrame:
     """One row a series, threshold and block, with the summary's fields. All steps are by series, over the exchange of prepared()."""
-    rows = with_thresholds(prepared(history), thresholds).withColumn("block", block(F.col("date_kst")))
+    return summarised_rows(with_thresholds(prepared(history), thresholds).withColumn("block", block(F.col("date_kst"))))
+
+
+def summarised_rows(rows: DataFrame) -> DataFrame:
+    """The summaries of prepared rows with their thresholds and blocks."""
     valid = F.col("rank").isNotNull() & (F.col("date_kst") != "")
     rows = rows.withColumn("valid", valid).withColumn("inside", valid & (F.col("rank") <= F.col("n")))
     by = [*_KEYS, "block", "valid"]
@@ -74,7 +78,7 @@ def summarised(history: DataFrame, thresholds: Sequence[int] | None = None, bloc
         F.min("low").alias("low"),
         F.max("latest").alias("latest"),
     )
-    return found.select(*_KEYS, "block", *(F.col(c).cast(kind).alias(c) for c, kind in _SUMMARY.items()))
+    return found.select(*_KEYS, "block", *(F.col(c).cast(kind).alias(c) for c, kind in SUMMARY.items()))
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -97,26 +101,30 @@ def merged(a: Column, b: Column) -> Column:
     neither = {"rows": a["rows"] + b["rows"], "first": a["first"], "last": b["last"], "head": head, "tail": tail, "best": F.least(a["best"], b["best"], *closed)}
     always = {"first_seq": F.least(a["first_seq"], b["first_seq"]), "low": F.least(a["low"], b["low"]), "latest": F.greatest(a["latest"], b["latest"])}
     fields = {c: F.when(a["rows"] == 0, b[c]).when(b["rows"] == 0, a[c]).otherwise(v) for c, v in neither.items()} | always
-    return F.struct(*(fields[c].cast(kind).alias(c) for c, kind in _SUMMARY.items()))
+    return F.struct(*(fields[c].cast(kind).alias(c) for c, kind in SUMMARY.items()))
 
 
 def in_one(summaries: DataFrame) -> DataFrame:
     """One summary a series and threshold, from those of blocks that do not overlap, merged in their order (as many as a series has blocks)."""
-    kind = f"struct<{','.join(f'{c}:{k}' for c, k in _SUMMARY.items())}>"
-    one = F.struct(*(F.col(c) for c in _SUMMARY)).cast(kind)
+    kind = f"struct<{','.join(f'{c}:{k}' for c, k in SUMMARY.items())}>"
+    one = F.struct(*(F.col(c) for c in SUMMARY)).cast(kind)
     ordered = F.array_sort(F.collect_list(F.struct(F.col("low").alias("at"), one.alias("s"))))
     found = summaries.groupBy(*_KEYS).agg(ordered.alias("_all"))
     folded = F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0))["s"], lambda total, x: merged(total, x["s"]))
     return found.select(*_KEYS, folded.alias("_s")).select(*_KEYS, "_s.*")
 
 
-def best_streaks(summaries: DataFrame) -> DataFrame:
-    """The best streak of each series and threshold, with what streaks.order() needs; the same rows as from the history."""
-    found = in_one(summaries)
+def with_best(found: DataFrame) -> DataFrame:
+    """Adds _best, the best run of a series' whole summary, or null."""
     # a run that is still open to the left or right competes as it stands, unless the step after it lost it
     runs = [F.col("best"), F.when(~F.col("head.lost"), F.col("head")), F.col("tail")]
     best = F.least(*(F.when(r.isNotNull(), F.struct(*(r[c].alias(c) for c in ("minus_days", "start", "start_seq", "end")))) for r in runs))
-    found = found.withColumn("_best", best).where("_best.minus_days is not null")
+    return found.withColumn("_best", best)
+
+
+def best_streaks(summaries: DataFrame) -> DataFrame:
+    """The best streak of each series and threshold, with what streaks.order() needs; the same rows as from the history."""
+    found = with_best(in_one(summaries)).where("_best.minus_days is not null")
     active = F.col("last.inside")
     return found.select(
         *SERIES,
@@ -139,7 +147,7 @@ def store_block(spark: SparkSession, path: str, block: str, history: DataFrame,
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    schema = ", ".join([*(f"{c} string" for c in SERIES), "n int", "threshold_pos int", *(f"{c} {kind}" for c, kind in _SUMMARY.items()), "block string"])
+    schema = ", ".join([*(f"{c} string" for c in SERIES), "n int", "threshold_pos int", *(f"{c} {kind}" for c, kind in SUMMARY.items()), "block string"])
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:

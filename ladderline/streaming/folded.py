@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ladderline.model import DEFAULT_THRESHOLDS, SERIES
 from ladderline.operators import run_summaries
-from ladderline.operators.series import cleaned, with_thresholds
+from ladderline.operators.series import cleaned, parsed_date, with_thresholds
+from ladderline.streaming.ranks import SHOCKS
 from ladderline.streaming.sinks import BATCH, committed_batches, read_batches, write_batch
 from ladderline.streaming.standings import STANDING
 
@@ -124,17 +125,16 @@ def keep_shocks(path: str, threshold: int = 3) -> Callable[[DataFrame, int], Non
 
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        known = _state(spark, path, "last", _LAST, batch).withColumn("own", F.lit(False))
+        known = _state(spark, path, "last", _LAST, batch).withColumns({"d": parsed_date(F.col("date_kst")), "own": F.lit(False)})
         both = cleaned(rows).withColumn("own", F.lit(True)).unionByName(known, allowMissingColumns=True)
         # a state comes before the rows of its date; older rows come before it, and are left out
         w = Window.partitionBy(*SERIES).orderBy("date_kst", "own", "row_seq")
         both = both.withColumn("known", F.coalesce(F.max(~F.col("own")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(False)))
         both = both.withColumn("reached", F.coalesce(F.max(~F.col("own")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False))).where(F.col("reached") | ~F.col("known"))
         write_batch(both.groupBy(*SERIES).agg(F.max(F.struct("date_kst", "own", "row_seq", "rank")).alias("_l")).select(*SERIES, "_l.date_kst", "_l.row_seq", "_l.rank"), f"{path}/last", batch)
-        found = both.withColumns({"previous_rank": F.lag("rank").over(w), "previous_date": F.lag("date_kst").over(w)}).where("own")
-        days = F.datediff(_day(F.col("date_kst")), _day(F.col("previous_date")))
+        found = both.withColumns({"previous_rank": F.lag("rank").over(w), "previous_date": F.lag("date_kst").over(w), "previous_d": F.lag("d").over(w)}).where("own")
         change = F.col("previous_rank") - F.col("rank")
-        found = found.where((days <= 2) & (F.abs(change) >= threshold)).select("product_name", *SERIES, F.col("date_kst").alias("date"), "previous_date", "previous_rank", F.col("rank").alias("new_rank"), change.alias("change"), F.when(change > 0, "improved").otherwise("dropped").alias("change_type"))
+        found = found.where((F.datediff("d", "previous_d") <= 2) & (F.abs(change) >= threshold)).select("product_name", *SERIES, F.col("date_kst").alias("date"), "previous_date", "previous_rank", F.col("rank").alias("new_rank"), change.alias("change"), F.when(change > 0, "improved").otherwise("dropped").alias("change_type"))
         write_batch(found, f"{path}/shocks", batch)
         _forget(spark, path, "last", batch)
 
@@ -142,6 +142,4 @@ def keep_shocks(path: str, threshold: int = 3) -> Callable[[DataFrame, int], Non
 
 
 def folded_shocks(spark: SparkSession, path: str) -> DataFrame:
-    from ladderline.streaming.ranks import SHOCKS
-
     return read_batches(spark, f"{path}/shocks", SHOCKS).drop(BATCH)

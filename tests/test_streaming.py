@@ -6,9 +6,10 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from ladderline.model import RANK_HISTORY
-from ladderline.operators import entry_exit, streaks
-from ladderline.streaming import sinks, standings
+from ladderline.operators import entry_exit, shocks, streaks
+from ladderline.streaming import folded, sinks, standings
 
 HISTORY = "date_kst string, market string, category_key string, rank int, product_name_raw string, product_url string, row_seq long"
 
@@ -122,3 +123,31 @@ def test_a_stream_that_dies_in_a_batch_goes_on_without_loss_or_copies(spark, tmp
     files = str(tmp_path / "files")
     spark.readStream.schema(HISTORY).parquet(files).writeStream.foreachBatch(dying).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     assert died == [1] and [r for r in map(tuple, sinks.appended_history(spark, path).where('date_kst is not null').select('date_kst', 'rank', 'product_name_raw', 'product_url').orderBy('date_kst', 'rank').collect())] == EXPECTED
+
+
+def test_folded_batches_give_what_the_history_gives(spark, tmp_path):
+    """Unreadable dates and ranks, rows that come too late, a batch that is replayed, and series that are first outside."""
+    rows = sorted(histories(4, 260), key=lambda r: (r[0], r[-1]))
+    parts = [rows[:70], rows[70:71], rows[71:200], [*rows[200:], ("2023-12-31", "m", "c", 1, "late", "https://x/a", 999)]]
+    out, jumps = str(tmp_path / "out"), str(tmp_path / "jumps")
+    fold, step = folded.keep_folded(out, [3, 8]), folded.keep_shocks(jumps)
+    for k, part in enumerate(parts):
+        for _ in range(2):
+            fold(spark.createDataFrame(part, HISTORY).repartition(3), k)
+            step(spark.createDataFrame(part, HISTORY).repartition(3), k)
+    found, history = folded.latest_folded(spark, out, [3, 8]), spark.createDataFrame(rows, HISTORY)
+    assert found.schema.names == standings.STANDING.names and found.count() == 2 * history.select(F.coalesce("product_url", F.lit(""))).distinct().count()
+    assert rows_of(standings.streaks_of(found), streaks.COLUMNS) == rows_of(streaks.best_streaks(history, [3, 8]), streaks.COLUMNS)
+    for columns, batch, stream in ((entry_exit.ENTRY_COLUMNS, entry_exit.new_entries, entry_exit.entries_of), (entry_exit.EXIT_COLUMNS, entry_exit.exits, entry_exit.exits_of)):
+        assert rows_of(stream(standings.facts_of(found, 20)), columns) == rows_of(batch(history, [3, 8], 20), columns)
+    assert rows_of(folded.folded_shocks(spark, jumps), shocks.COLUMNS) == rows_of(shocks.shocks(history), shocks.COLUMNS)
+    assert len(sinks.committed_batches(spark, f"{out}/series")) == 2  # the state is not kept for every batch
+
+
+def test_streamed_queries_run_no_row_in_python(spark, tmp_path, monkeypatch):
+    """Calls to Python by series took most of their time."""
+    for name in ("transformWithState", "applyInPandasWithState"):
+        monkeypatch.setattr(f"pyspark.sql.group.GroupedData.{name}", lambda *a, **k: pytest.fail("a state in Python"), raising=False)
+        monkeypatch.setattr(f"pyspark.sql.pandas.group_ops.PandasGroupedOpsMixin.{name}", lambda *a, **k: pytest.fail("a state in Python"), raising=False)
+    for name in ("streamed_streaks", "streamed_shocks"):
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
