@@ -23,7 +23,9 @@ def elements(pages: DataFrame, key: str, html: str, names: Sequence[str]) -> Dat
     An element that is not closed reaches to the page's end; a closing tag without an opening one is left out. A null page has no elements.
     """
     page = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), OPAQUE, "")
-    rows = pages.select(key, F.length(page).alias("_size"), F.posexplode(F.split(page, "<")).alias("_at", "_piece"))
+    # size and pieces come before the rows are made, as what stands beside a generator is computed again for each of its rows
+    cleared = pages.select(key, F.length(page).alias("_size"), F.split(page, "<").alias("_pieces"))
+    rows = cleared.select(key, "_size", F.posexplode("_pieces").alias("_at", "_piece"))
     before = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("_piece")).over(before), F.lit(0)) + F.col("_at") - 1).withColumn("name", F.lower(F.regexp_extract("_piece", _TAG, 1)))
     rows = rows.where((F.col("_at") > 0) & F.col("name").isin(*names)).withColumn("_closes", F.startswith("_piece", F.lit("/")))

@@ -61,3 +61,9 @@ def test_elements_are_those_of_a_walk(spark, stray):
 def test_containment(spark):
     rows = boxes.outermost(boxes.elements(pages(spark, ["<div>1<li>2<div>3</div></li></div><li>4<li>5</li></li><div>6</div>"]), "page_id", "html", KINDS), "page_id").orderBy("start").collect()
     assert [(r.name, r.of_kind, r.outer) for r in rows] == [("div", True, True), ("li", True, False), ("div", False, False), ("li", True, True), ("li", False, False), ("div", True, True)]
+
+
+def test_a_page_is_cleared_once_and_not_for_each_of_its_tags(spark):
+    rows = boxes.elements(pages(spark, ["<div>x</div>"]), "page_id", "html", KINDS)
+    above, _, _ = rows._jdf.queryExecution().optimizedPlan().toString().partition("Generate")
+    assert "regexp_replace" not in above
