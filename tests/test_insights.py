@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 
+from ladderline.operators import series
 from ladderline.operators.entry_exit import exits, new_entries
 from ladderline.operators.shocks import improvements, recent_shocks, shocks
 from ladderline.operators.streaks import active_streaks, streaks
@@ -171,3 +172,11 @@ def test_random_series(spark):
 @pytest.mark.parametrize("thresholds", [None, []])
 def test_no_thresholds_mean_the_defaults(spark, thresholds):
     assert {r.top_n_threshold for r in streaks(history(spark, STREAKS), thresholds).collect()} == {5, 10, 100}
+
+
+def test_series_that_were_never_inside_are_left_out_before_thresholds(spark):
+    """Rows are not carried through windows by threshold that their series never reached."""
+    rows = [("2024-01-01", "m", "c", 1, "a", "a", 0), ("2024-01-02", "m", "c", 50, "a", "a", 1), ("2024-01-01", "m", "c", 7, "b", "b", 2), ("2024-01-01", "m", "c", 900, "c", "c", 3), ("2024-01-01", "m", "c", None, "d", "d", 4)]
+    history = spark.createDataFrame(rows, "date_kst string, market string, category_key string, rank int, product_name_raw string, product_url string, row_seq long")
+    found = series.with_reached(series.prepared(history), [5, 10]).collect()
+    assert sorted((r.product_url, r.row_seq, r.n) for r in found) == [("a", 0, 5), ("a", 0, 10), ("a", 1, 5), ("a", 1, 10), ("b", 2, 10)]
