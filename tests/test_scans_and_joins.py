@@ -1,6 +1,7 @@
 """Scans in two passes, joins by time and run summaries against brute force, over any blocks."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -116,6 +117,18 @@ def test_interval_join(spark, kind):
     assert time_joins.interval_join(p, i.limit(0), [], "at", "low", "high", ["i"]).count() == 0
 
 
+def test_pairs_of_a_full_bin_are_spread(spark, monkeypatch):
+    """Few input partitions, and copies of one instant and one interval: blocks and parts bound what meets in one row and in one task."""
+    for name, size in (("POINTS_A_BLOCK", 3), ("BLOCKS_A_PART", 2), ("INTERVALS_A_PART", 4)):
+        monkeypatch.setattr(time_joins, name, size)
+    points = spark.createDataFrame([(k, 500 + (k % 40 if k % 2 else 0)) for k in range(200)], "k int, at long").coalesce(1)
+    intervals = spark.createDataFrame([(k, 500, 500 + (k % 3) * 10) for k in range(30)], "i int, low long, high long").coalesce(1)
+    found = time_joins.interval_join(points, intervals, [], "at", "low", "high", ["i"]).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.k, r.i) for r in found) == sorted((k, i) for k in range(200) for i in range(30) if 500 <= 500 + (k % 40 if k % 2 else 0) <= 500 + (i % 3) * 10)
+    sizes = Counter(r.task for r in found)
+    assert len(sizes) >= 8 and max(sizes.values()) < len(found) / 3
+
+
 def histories(seed, n=300):
     """Ranks with gaps, repeated and unreadable dates, missing ranks and changing names."""
     rng = random.Random(seed)
