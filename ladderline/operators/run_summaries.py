@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ladderline.model import SERIES
-from ladderline.operators.series import prepared, with_thresholds
+from ladderline.model import DEFAULT_THRESHOLDS, SERIES
+from ladderline.operators.series import cleaned
 
 #: A run; its first fields put the best run first: most days, then the earliest start. whole: it is all of the block's valid rows.
 _RUN = "struct<minus_days:int,start:string,start_seq:bigint,end:string,lost:boolean,whole:boolean>"
@@ -34,8 +34,37 @@ def _run(minus_days: Column, start: Column, start_seq: Column, end: Column, lost
 
 
 def summarised(history: DataFrame, thresholds: Sequence[int] | None = None, block: Callable[[Column], Column] = month) -> DataFrame:
-    """One row a series, threshold and block, with the summary's fields. All steps are by series, over the exchange of prepared()."""
-    return summarised_rows(with_thresholds(prepared(history), thresholds).withColumn("block", block(F.col("date_kst"))))
+    """One row a series, threshold and block, with the summary's fields. All steps are by series, over one exchange."""
+    return summarised_series(cleaned(history).withColumn("block", block(F.col("date_kst"))), [F.struct(F.lit(k).alias("threshold_pos"), F.lit(int(n)).alias("n")) for k, n in enumerate(thresholds or DEFAULT_THRESHOLDS)])
+
+
+def summarised_series(rows: DataFrame, thresholds: Sequence[Column]) -> DataFrame:
+    """The summaries of cleaned rows with their blocks, one for each threshold. A row is sorted once, whatever the number of thresholds, which meet only in the summaries."""
+    # a hash and a struct: keys that are the same in all rows would be taken for constants, and exchange and sort would not be seen to fit
+    by = ["_hash", "_series"]
+    rows = rows.withColumns({"_hash": F.xxhash64(*SERIES), "_series": F.struct(*SERIES, "block")}).drop(*SERIES, "block").repartition("_hash")
+    valid = F.col("rank").isNotNull() & (F.col("date_kst") != "")
+    w = Window.partitionBy(*by, "valid").orderBy("date_kst", "row_seq")
+    here, at = F.struct("date_kst", "row_seq"), F.struct("date_kst", "row_seq", F.col("nth").alias("nth"))
+    rows = rows.withColumn("valid", valid).withColumns({"nth": F.row_number().over(w), "before": F.lag("rank").over(w), "after": F.lead("rank").over(w), "d_before": F.lag("d").over(w), "d_after": F.lead("d").over(w)})
+    inside = lambda rank, t: F.coalesce(F.col(rank) <= t["n"], F.lit(False))
+    goes_on, stays = F.datediff("d", "d_before") <= 1, F.datediff("d_after", "d") <= 1
+    begins = {f"begin{k}": F.when(F.col("valid") & inside("rank", t) & ~(inside("before", t) & F.coalesce(goes_on, F.lit(False))), at) for k, t in enumerate(thresholds)}
+    rows = rows.withColumns(begins).withColumns({c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in begins})
+    edge = F.when(F.col("valid"), F.struct("date_kst", "row_seq", "d", "rank"))
+    kept = {"rows": F.sum(F.col("valid").cast("long")), "first": F.min(edge), "last": F.max(edge), "first_seq": F.min("row_seq"), "low": F.min(here), "latest": F.max(F.struct("date_kst", "row_seq", "product_name", "rank"))}
+    for k, t in enumerate(thresholds):
+        begin = F.col(f"begin{k}")
+        ends = F.col("valid") & inside("rank", t) & ~(inside("after", t) & F.coalesce(stays, F.lit(False)))
+        lost = inside("after", t) & F.datediff("d_after", "d").isNull()
+        is_first, is_last = begin["nth"] == 1, F.col("after").isNull()
+        run = _run((begin["nth"] - F.col("nth") - 1).cast("int"), begin["date_kst"], begin["row_seq"], F.col("date_kst"), lost, is_first & is_last)
+        kept |= {f"head{k}": F.min(F.when(ends & is_first, run)), f"tail{k}": F.min(F.when(ends & is_last, run)), f"best{k}": F.min(F.when(ends & ~is_first & ~is_last & ~lost, run))}
+    found = rows.groupBy(*by).agg(*(v.alias(c) for c, v in kept.items()))
+    own_edge = lambda c, t: F.when(F.col(c).isNotNull(), F.struct(*(F.col(c)[x].alias(x) for x in ("date_kst", "row_seq", "d")), (F.col(c)["rank"] <= t["n"]).alias("inside")))
+    each = F.array(*(F.struct(t["n"].alias("n"), t["threshold_pos"].alias("threshold_pos"), own_edge("first", t).alias("first"), own_edge("last", t).alias("last"), *(F.col(f"{c}{k}").alias(c) for c in ("head", "tail", "best"))) for k, t in enumerate(thresholds)))
+    found = found.select("_series", "rows", "first_seq", "low", "latest", F.explode(each).alias("t")).select("_series.*", "rows", "first_seq", "low", "latest", "t.*")
+    return found.select(*_KEYS, "block", *(F.col(c).cast(kind).alias(c) for c, kind in SUMMARY.items()))
 
 
 def summarised_rows(rows: DataFrame) -> DataFrame:
@@ -123,8 +152,12 @@ def with_best(found: DataFrame) -> DataFrame:
 
 
 def best_streaks(summaries: DataFrame) -> DataFrame:
-    """The best streak of each series and threshold, with what streaks.order() needs; the same rows as from the history."""
-    found = with_best(in_one(summaries)).where("_best.minus_days is not null")
+    """The best streak of each series and threshold, with what streaks.order() needs; the same rows as from the history.
+
+    Only the summaries of series with a run in some block are brought together; the others have no streak, and their blocks end none.
+    """
+    with_runs = summaries.where("head is not null or tail is not null or best is not null").select(*_KEYS).distinct()
+    found = with_best(in_one(summaries.join(with_runs, _KEYS, "left_semi"))).where("_best.minus_days is not null")
     active = F.col("last.inside")
     return found.select(
         *SERIES,

@@ -149,6 +149,28 @@ def test_streaks_of_any_split_are_those_of_the_history(spark, split):
         assert rows(run_summaries.best_streaks(found)) == rows(streaks.best_streaks(history, [3, 8]))
 
 
+def test_summaries_of_all_thresholds_take_one_exchange_and_one_sort(spark):
+    history = spark.createDataFrame(histories(1, 300), HISTORY).withColumn("category_key", F.lit("all"))
+    for thresholds in ([3], [3, 8, 8, 10]):
+        for block in (run_summaries.month, lambda _: F.lit("x")):
+            plan = plan_of(run_summaries.summarised(history, thresholds, block))
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_only_series_with_runs_are_brought_together(spark):
+    rows = [("2024-01-0" + str(d), "m", "c", r, "name", f"https://x/{k}", d * 100 + k) for d in range(1, 5) for k, r in enumerate([3 if d != 3 else 50, *[40] * 30])]
+    days = run_summaries.summarised(spark.createDataFrame(rows, HISTORY), [5], lambda d: d)
+    sizes = []
+    brought, in_one = run_summaries.in_one, lambda s: (sizes.append(s.count()), brought(s))[1]
+    run_summaries.in_one = in_one
+    try:
+        found = run_summaries.best_streaks(days).collect()
+    finally:
+        run_summaries.in_one = brought
+    assert days.count() == 4 * 31 and sizes == [4]
+    assert [(r.product_url, r.streak_days, r.streak_start, r.is_active) for r in found] == [("https://x/0", 2, "2024-01-01", True)]
+
+
 def test_merging_is_associative(spark):
     history = spark.createDataFrame(histories(7, 120), HISTORY)
     days = run_summaries.summarised(history, [3, 8], lambda d: F.substring(d, 1, 9)).persist()
