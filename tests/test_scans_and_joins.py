@@ -129,6 +129,31 @@ def test_pairs_of_a_full_bin_are_spread(spark, monkeypatch):
     assert len(sizes) >= 8 and max(sizes.values()) < len(found) / 3
 
 
+def test_pairs_wait_in_memory_by_interval_and_tasks_grow_with_intervals(spark, monkeypatch):
+    """A merge join keeps the pairs of a row of its left side until all are made: those of a block of points would be as many as its bin has intervals."""
+    monkeypatch.setattr(time_joins, "INTERVALS_A_TASK", 2, raising=False)
+    points, intervals = spark.range(50).selectExpr("id AS k", "id AS at"), spark.range(100).selectExpr("id AS i", "id DIV 3 AS low", "id DIV 3 + 9 AS high")
+    found = time_joins.interval_join(points, intervals, [], "at", "low", "high", ["i"])
+    node = found._jdf.queryExecution().sparkPlan()
+    while node.children().size() == 1:
+        node = node.children().apply(0)
+    left, right = (node.children().apply(n).output().mkString(" ") for n in (0, 1))
+    assert node.nodeName() == "SortMergeJoin" and "_taken" in left and "_points" in right and "_points" not in left
+    assert found.rdd.getNumPartitions() == 50
+    assert sorted((r.k, r.i) for r in found.collect()) == sorted((k, i) for k in range(50) for i in range(100) if i // 3 <= k <= i // 3 + 9)
+
+
+def test_interval_join_keeps_columns_of_any_type(spark):
+    points = spark.createDataFrame([(1, None, {"a": 1}, [None, 2], ("x", None)), (2, "t", None, None, None), (None, "n", {}, [], ("y", 1))], "at long, name string, m map<string,int>, l array<int>, s struct<a:string,b:int>")
+    intervals = spark.createDataFrame([(0, 1, None, None), (1, 2, "u", [1])], "low long, high long, t string, a array<int>")
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = points.where("at IS NOT NULL")
+    expected = whole.where("at = 1").selectExpr("*", "CAST(NULL AS string) AS t", "CAST(NULL AS array<int>) AS a").union(whole.selectExpr("*", "'u' AS t", "array(1) AS a"))
+    found = time_joins.interval_join(points, intervals, [], "at", "low", "high", ["t", "a"])
+    assert found.columns == expected.columns and rows(found) == rows(expected)
+    assert rows(time_joins.interval_join(points, intervals, [], "at", "low", "high", [])) == rows(expected.drop("t", "a"))
+
+
 def histories(seed, n=300):
     """Ranks with gaps, repeated and unreadable dates, missing ranks and changing names."""
     rng = random.Random(seed)
